@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from quotelark.llm import op9_decontamination, op10_mixing
+from quotelark.llm import op1_language_id, op7_fingerprints, op8_chat, op9_decontamination, op10_mixing
 
 QUERIES = {
+    "op1_language_id": op1_language_id.query,
+    "op7_fingerprints": op7_fingerprints.query,
+    "op8_chat": op8_chat.query,
     "op9_decontamination": op9_decontamination.query,
     "op10_mixing": op10_mixing.query,
 }
 
-ORACLE_SQL = {"op10_mixing": op10_mixing.ORACLE}
+ORACLE_SQL = {"op8_chat": op8_chat.ORACLE, "op10_mixing": op10_mixing.ORACLE}
