@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quotelark.llm import op1_language_id, op3_toxicity, op5_quality, op7_fingerprints, op8_chat, op9_decontamination, op10_mixing
+from quotelark.llm import op1_language_id, op3_toxicity, op5_quality, op6_jaccard, op7_fingerprints, op8_chat, op9_decontamination, op10_mixing
 
 QUERIES = {
     "op1_language_id": op1_language_id.query,
     "op3_toxicity": op3_toxicity.query,
     "op5_quality": op5_quality.query,
+    "op6_jaccard": op6_jaccard.query,
     "op7_fingerprints": op7_fingerprints.query,
     "op8_chat": op8_chat.query,
     "op9_decontamination": op9_decontamination.query,
