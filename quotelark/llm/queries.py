@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quotelark.llm import op1_language_id, op2_substring_dedup, op3_toxicity, op5_quality, op6_jaccard, op7_fingerprints, op8_chat, op9_decontamination, op10_mixing
+from quotelark.llm import op1_language_id, op2_substring_dedup, op3_toxicity, op4_brown_lm, op5_quality, op6_jaccard, op7_fingerprints, op8_chat, op9_decontamination, op10_mixing
 
 QUERIES = {
     "op1_language_id": op1_language_id.query,
     "op2_substring_dedup": op2_substring_dedup.query,
     "op3_toxicity": op3_toxicity.query,
+    "op4_brown_lm": op4_brown_lm.query,
     "op5_quality": op5_quality.query,
     "op6_jaccard": op6_jaccard.query,
     "op7_fingerprints": op7_fingerprints.query,
