@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from quotelark.plans import bets, quotes  # noqa: F401
+from quotelark.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
+
+FLAGSHIP = "flagship_daily_scan"
