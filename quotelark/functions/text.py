@@ -54,7 +54,7 @@ def iso_week(day: Column) -> Column:
 
 
 def stale(ts: Column, now: Column, seconds: int) -> Column:
-    return ts.isNull() | (F.unix_micros(now) - F.unix_micros(ts) > seconds * 1_000_000)
+    return ts.isNull() | (F.unix_micros(now.cast("timestamp")) - F.unix_micros(ts.cast("timestamp")) > seconds * 1_000_000)
 
 
 def number(text: Column, kind: str = "double") -> Column:

@@ -58,7 +58,7 @@ def best_of_latest(rows: DataFrame, key: str, ts: str, value: str, tie: str) ->
 
 def due(targets: DataFrame, done: DataFrame, key: str, start: str, now: Column, minutes: int) -> DataFrame:
     """Targets that start within the window after now and are not done."""
-    ahead = F.unix_micros(start) - F.unix_micros(now)
+    ahead = F.unix_micros(F.col(start).cast("timestamp")) - F.unix_micros(now.cast("timestamp"))
     return targets.where((ahead > 0) & (ahead <= minutes * 60_000_000)).join(done, key, "left_anti")
 
 

@@ -46,7 +46,7 @@ def earlier_dates(rows: DataFrame, by: str, day: str, value: str, pseudo: float)
     carried = years.select("year", F.coalesce(F.sum("yv").over(y), F.lit(0.0)).alias("cv"), F.coalesce(F.sum("yn").over(y), F.lit(0)).alias("cn"))
     d = W.partitionBy("year").orderBy(day).rowsBetween(W.unboundedPreceding, -1)
     rate = league.join(F.broadcast(carried), "year").select(
-        F.col(day), ((F.coalesce(F.sum("lv").over(d), F.lit(0.0)) + F.col("cv")) / (F.coalesce(F.sum("ln").over(d), F.lit(0)) + F.col("cn"))).alias("league_rate")
+        F.col(day), F.try_divide(F.coalesce(F.sum("lv").over(d), F.lit(0.0)) + F.col("cv"), F.coalesce(F.sum("ln").over(d), F.lit(0)) + F.col("cn")).alias("league_rate")
     )
     state = daily.select(by, day, F.coalesce(F.sum("v").over(own), F.lit(0.0)).alias("pv"), F.coalesce(F.sum("n").over(own), F.lit(0)).alias("pn")).join(rate, day)
     shrunk = (F.col("pv") + pseudo * F.col("league_rate")) / (F.col("pn") + pseudo)

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def micros(ts: str | Column) -> Column:
+    """Microseconds of a timestamp with or without a zone."""
+    return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
+
+
 def as_of(asks: DataFrame, facts: DataFrame, key: str, at: str, ts: str, values: Sequence[str], tie: str) -> DataFrame:
     """asks with the last fact of their key at or before `at`: values as as_of_<value>, and as_of_ts.
 
@@ -24,12 +29,12 @@ def as_of(asks: DataFrame, facts: DataFrame, key: str, at: str, ts: str, values:
 def horizons(events: DataFrame, start: str, hours: Sequence[float]) -> DataFrame:
     """events with a row for each horizon: `hours_before` and the `cutoff` that many hours before the start."""
     grid = F.explode(F.array(*[F.lit(float(h)) for h in hours]))
-    return events.withColumn("hours_before", grid).withColumn("cutoff", F.timestamp_micros((F.unix_micros(start) - F.col("hours_before") * 3_600_000_000).cast("long")))
+    return events.withColumn("hours_before", grid).withColumn("cutoff", F.col(start) - F.make_dt_interval(secs=(F.col("hours_before") * 3600).cast("decimal(18,6)")))
 
 
 def last_in_interval(entries: DataFrame, facts: DataFrame, key: str, after: str, before: str, ts: str, value: str, tie: str) -> DataFrame:
     """entries with the last fact strictly between `after` and `before`; null where there is none."""
-    found = as_of(entries.withColumn("_before", F.timestamp_micros(F.unix_micros(before) - 1)), facts, key, "_before", ts, [value], tie).drop("_before")
+    found = as_of(entries.withColumn("_before", F.col(before) - F.expr("INTERVAL '0.000001' SECOND")), facts, key, "_before", ts, [value], tie).drop("_before")
     inside = F.col("as_of_ts") > F.col(after)
     return found.withColumn("last_ts", F.when(inside, F.col("as_of_ts"))).withColumn(f"last_{value}", F.when(inside, F.col(f"as_of_{value}"))).drop("as_of_ts", f"as_of_{value}")
 
@@ -66,7 +71,7 @@ def link_within(left: DataFrame, right: DataFrame, key: str, left_day: str, righ
 
 def coverage(priced: DataFrame, limit_hours: float) -> DataFrame:
     """Share priced at all, share fresh, and median age, by horizon."""
-    age = (F.unix_micros("cutoff") - F.unix_micros("as_of_ts")) / 3.6e9
+    age = (micros("cutoff") - micros("as_of_ts")) / 3.6e9
     some = F.col("as_of_ts").isNotNull()
     return priced.withColumn("age", age).groupBy("hours_before").agg(
         F.count(F.lit(1)).alias("asked"), F.avg(some.cast("int")).alias("raw_share"), F.avg((some & (F.col("age") <= limit_hours)).cast("int")).alias("fresh_share"), F.median("age").alias("median_age")
