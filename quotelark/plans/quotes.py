@@ -10,7 +10,7 @@ from quotelark.operators import gates as G
 from quotelark.plans.registry import query, rounded
 from quotelark.sources.driver_tables import OUTCOMES
 
-ZERO = F.lit(0.02)
+COMMISSION = 0.02
 
 
 @query("flagship_daily_scan", "quotes fair", """
@@ -24,7 +24,7 @@ from graded""")
 def daily_scan(t):
     """Quotes to margin-free consensus, best price, expected value, label and grade."""
     q = t.quotes()
-    rows = C.candidates(q, OUTCOMES, least_books=2).withColumn("ev", O.net_ev(F.col("median_p"), F.col("best_odds"), ZERO)).withColumn("label", G.confidence(F.col("books"), F.col("std_p")))
+    rows = C.candidates(q, OUTCOMES, least_books=2).withColumn("ev", O.net_ev(F.col("median_p"), F.col("best_odds"), F.lit(COMMISSION))).withColumn("label", G.confidence(F.col("books"), F.col("std_p")))
     out = rows.withColumn("grade", G.grade(F.col("median_p"), F.col("ev"), F.col("label"), F.col("books")))
     return rounded(out.select("market", "outcome", "best_book", "best_odds", "median_p", "ev", "label", "grade"))
 
@@ -152,7 +152,12 @@ def grades(t):
     return g.select("market", "outcome", "label", "grade", G.payout_floor(F.col("grade"), F.col("best_odds"), 1.5).alias("floored"))
 
 
-RULES = {"LOW_ODDS": F.col("odds") < 1.8, "LOW_P": F.col("p") < 0.3, "NEGATIVE_EV": O.net_ev(F.col("p"), F.col("odds"), ZERO) <= 0, "TOO_EARLY": F.col("season") > 1999}
+def rules():
+    """Reason codes and what raises them."""
+    ev = O.net_ev(F.col("p"), F.col("odds"), F.lit(COMMISSION))
+    return {"LOW_ODDS": F.col("odds") < 1.8, "LOW_P": F.col("p") < 0.3, "NEGATIVE_EV": ev <= 0, "TOO_EARLY": F.col("season") > 1999}
+
+
 RULES_SQL = """, why as (select *, list_filter([case when odds < 1.8 then 'LOW_ODDS' end, case when p < 0.3 then 'LOW_P' end,
   case when p * (odds - 1) * 0.98 - (1 - p) <= 0 then 'NEGATIVE_EV' end, case when season > 1999 then 'TOO_EARLY' end], lambda x: x is not null) as r from bets)"""
 
@@ -161,28 +166,28 @@ RULES_SQL = """, why as (select *, list_filter([case when odds < 1.8 then 'LOW_O
 select bet_id, array_to_string(r, '|') as reasons, case when len(r) = 0 then case when sport = 'N' then 'PAPER_ONLY' else 'BET' end
   when len(r) = 1 and r[1] = 'TOO_EARLY' then 'WATCH' else 'REJECT' end as decision from why""")
 def qualification(t):
-    rows = t.bets().withColumn("r", G.reasons(RULES))
+    rows = t.bets().withColumn("r", G.reasons(rules()))
     return rows.select("bet_id", F.concat_ws("|", "r").alias("reasons"), G.qualify(F.col("r"), "TOO_EARLY", F.col("sport") == "N").alias("decision"))
 
 
 @query("g6_candidate_decision", "bets", RULES_SQL + """
 select bet_id, case when list_has_any(r, ['NEGATIVE_EV', 'LOW_ODDS']) then 'REJECT' when len(r) > 0 then 'WATCH' else 'PICK' end as decision from why""")
 def decision(t):
-    return t.bets().select("bet_id", G.decide(G.reasons(RULES), ["NEGATIVE_EV", "LOW_ODDS"]).alias("decision"))
+    return t.bets().select("bet_id", G.decide(G.reasons(rules()), ["NEGATIVE_EV", "LOW_ODDS"]).alias("decision"))
 
 
 @query("g9_cohort_by_reasons", "bets", RULES_SQL + """
 , ok as (select *, row_number() over (partition by event order by day, bet_id) as n from why where len(list_filter(r, lambda x: x not in ('TOO_EARLY', 'LOW_P'))) = 0)
 select event, bet_id, day from ok where n = 1""")
 def cohort(t):
-    rows = t.bets().where(G.only_reasons(G.reasons(RULES), ["TOO_EARLY", "LOW_P"]))
+    rows = t.bets().where(G.only_reasons(G.reasons(rules()), ["TOO_EARLY", "LOW_P"]))
     first = rows.groupBy("event").agg(F.min(F.struct("day", "bet_id")).alias("x"))
     return first.select("event", "x.bet_id", "x.day")
 
 
 @query("r7_reason_counts", "bets", RULES_SQL + "select code, count(*) as n from (select unnest(r) as code from why) group by code")
 def reason_counts(t):
-    return t.bets().select(F.explode(F.split(F.concat_ws("|", G.reasons(RULES)), r"\|")).alias("code")).where("code <> ''").groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    return t.bets().select(F.explode(F.split(F.concat_ws("|", G.reasons(rules())), r"\|")).alias("code")).where("code <> ''").groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("p1_p2_p3_price_columns", "bets", """
@@ -205,7 +210,7 @@ def american(t):
 select bet_id, round(f, 6) as kelly, case when 1000 * least(f * 0.25, 0.02) >= 1 then round(1000 * least(f * 0.25, 0.02), 2) else 0.0 end as stake from k""")
 def stakes(t):
     p, o = F.col("p"), F.col("odds")
-    return rounded(t.bets().select("bet_id", O.kelly(p, o, ZERO).alias("kelly"), O.stake("kelly", F.lit(1000.0), p, o, ZERO).alias("stake")))
+    return rounded(t.bets().select("bet_id", O.kelly(p, o, F.lit(COMMISSION)).alias("kelly"), O.stake("kelly", F.lit(1000.0), p, o, F.lit(COMMISSION)).alias("stake")))
 
 
 @query("p6_profit", "bets", """
@@ -213,7 +218,7 @@ select bet_id, case when event % 7 = 0 then 'VOID' when y = 1 then 'WON' else 'L
        round(case when event % 7 = 0 then 0.0 when y = 1 then 2 * (odds - 1) * 0.98 else -2.0 end, 6) as profit from bets""")
 def profit(t):
     status = F.when(F.col("event") % 7 == 0, "VOID").when(F.col("y") == 1, "WON").otherwise("LOST")
-    return rounded(t.bets().select("bet_id", status.alias("status"), O.pnl(status, F.col("odds"), ZERO, F.lit(2.0)).alias("profit")))
+    return rounded(t.bets().select("bet_id", status.alias("status"), O.pnl(status, F.col("odds"), F.lit(COMMISSION), F.lit(2.0)).alias("profit")))
 
 
 @query("p7_market_outcomes", "history", """
