@@ -80,6 +80,41 @@ def test_op2_spans_are_alike(spark, docs):
         assert len(a) >= 50 and r.source_id < r.doc_id and len(x & y) / len(x | y) >= 0.8
 
 
+def frequent_lines(rng):
+    """A passage of 50 words, and texts that hold lines of it among other words."""
+    fill = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    passage = fill(50)
+    return passage, [" ".join(fill(40) + passage[k : k + 20] + fill(40)) for k in range(0, 31, 10) for _ in range(30)], fill
+
+
+def test_op2_passages_of_frequent_lines(spark):
+    rng = random.Random(8)
+    rows, pairs = [], []
+    for group in range(6):
+        passage, lines, fill = frequent_lines(rng)
+        at = 1000 * group
+        rows += [(at + k, t) for k, t in enumerate(lines)]
+        rows += [(at + k, " ".join(fill(30) + passage + fill(30))) for k in (500, 600)]
+        pairs.append((at + 600, at + 500))
+    got = {(r.doc_id, r.source_id): r for r in op2.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == set(pairs)
+    assert all((r.begin_word, r.end_word, r.source_begin, r.source_end) == (30, 80, 30, 80) for r in got.values())
+
+
+def test_op2_least_run_bounds_what_edits_leave():
+    rng = random.Random(9)
+    run = op2.least_run(50, 0.8)
+    for _ in range(3000):
+        a = [f"w{k}" for k in range(rng.randrange(50, 260))]
+        b = list(a)
+        for _ in range(rng.randrange(1, 6)):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randrange(2)] = ["new"] * rng.randrange(2)
+        x, y = ([tuple(t[k : k + 5]) for k in range(len(t) - 4)] for t in (a, b))
+        if len(b) >= 50 and len(set(x) & set(y)) >= 0.8 * len(set(x) | set(y)):
+            assert {tuple(a[k : k + run + 4]) for k in range(len(a) - run - 3)} & {tuple(b[k : k + run + 4]) for k in range(len(b) - run - 3)}
+
+
 def test_op2_windows_are_the_cartesian_tree():
     rng = np.random.default_rng(3)
     values = rng.permutation(200).astype(np.uint64)
