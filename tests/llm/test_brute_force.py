@@ -101,6 +101,16 @@ def test_op2_passages_of_frequent_lines(spark):
     assert all((r.begin_word, r.end_word, r.source_begin, r.source_end) == (30, 80, 30, 80) for r in got.values())
 
 
+def test_op2_source_repeats_the_first_line(spark):
+    rng = random.Random(10)
+    fill = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    line, rest = fill(20), fill(39)
+    source = line + fill(70) + line + ["old"] + rest + fill(40)
+    later = fill(30) + line + ["new"] + rest + fill(20)
+    got = op2.repeats(spark.createDataFrame([(1, " ".join(source)), (2, " ".join(later))], "doc_id long, text string")).collect()
+    assert [(r.begin_word, r.end_word, r.source_begin, r.source_end) for r in got] == [(30, 90, 90, 150)]
+
+
 def test_op2_least_run_bounds_what_edits_leave():
     rng = random.Random(9)
     run = op2.least_run(50, 0.8)
