@@ -8,7 +8,8 @@ once the posterior probability of reaching the threshold falls below `tolerance`
 shingle sets. Each bucket draws its centre by its own hash, so a text meets different ones in its buckets; buckets whose members
 are not all of one class meet again in the next round with new centres, until none is left.
 
-A class is a connected component of the verified links; its id is its least doc_id.
+A class is a connected component of the verified links; its id is its least doc_id. When the classes are known, all texts of a class
+are compared with each other, in blocks, to count the links of each.
 
 Nulls, ties and odd input: a null text is empty; texts without words are copies of each other; a text of under five words is
 one shingle; rows that share an id are one document, with one row in the result for each; a null id gets no class and no links;
@@ -35,6 +36,8 @@ HASHES = BANDS * ROWS
 STEP = 16
 #: Centres that a bucket draws in each round after the first.
 DRAWS = 4
+#: Texts in a block; two blocks at most meet in a row of cells().
+BLOCK = 128
 
 
 def flat_shingles(hashes: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,8 +138,8 @@ def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, threshold:
     return cut(full.select("x", "y", "text_x", "text_y").mapInArrow(verify(threshold), "x long, y long, jaccard double"))
 
 
-def links(sketches: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = 0.0005) -> tuple[DataFrame, DataFrame]:
-    """(links, roots): verified links (x, y, jaccard) between collapsed texts, and (node, root) for the classes they form.
+def links(sketches: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = 0.0005) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links, roots, texts): verified links (x, y, jaccard) that were asked, (node, root) for the classes, texts that share a bucket.
 
     Each round every bucket draws centres by a hash, one in the first round and DRAWS in later ones, and compares them with the
     members of other classes. A bucket is done when its members are of one class, or when two rounds running (2 x DRAWS centres,
@@ -166,7 +169,7 @@ def links(sketches: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, to
         if roots is None:
             found, asked, roots = new, pairs, components(new.select(F.col("x").alias("a"), F.col("y").alias("b")))
         elif new.isEmpty():
-            return found, roots
+            return found, roots, texts
         else:
             found, asked, roots = found.union(new), asked.union(pairs), merged(roots, new)
         met, rows = rows, rows.select("bucket", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
@@ -189,23 +192,86 @@ def merged(roots: DataFrame, new: DataFrame) -> DataFrame:
     return cut(moved.union(fresh))
 
 
+def cells(members: DataFrame, group: str, carried: list[str]) -> DataFrame:
+    """Rows (members: array of (block, *carried), low, high) so that any two members of a group meet in one row.
+
+    A group is dealt over blocks of about BLOCK members by a hash of rep; each row has the members of two blocks, or of one.
+    """
+    blocks_ = members.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n_blocks")).withColumnRenamed(group, "group")
+    dealt = members.join(blocks_, members[group] == blocks_["group"]).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("n_blocks")).cast("int"))
+    met = dealt.select("group", "block", *carried, F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other"))
+    met = met.select("group", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.struct("block", *carried).alias("member"))
+    return met.groupBy("group", "low", "high").agg(F.collect_list("member").alias("members")).select("low", "high", "members")
+
+
+def meeting(low: int, high: int, block: np.ndarray) -> np.ndarray:
+    """Which members of a cell are compared in it: those of different blocks, or all where it has one block."""
+    return block[:, None] != block[None, :] if low != high else ~np.eye(len(block), dtype=bool)
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two of the sets share, as products of a 0/1 matrix taken in slices of its columns."""
+    flat, own = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    column, own = (np.cumsum(times > 1) - 1)[column[shared]], own[shared]
+    order = np.argsort(column, kind="stable")
+    column, own = column[order], own[order]
+    out = np.zeros((len(sets), len(sets)))
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, 8192):
+        a, b = np.searchsorted(column, (first, first + 8192))
+        matrix = np.zeros((len(sets), 8192), np.float32)
+        matrix[own[a:b], column[a:b] - first] = 1
+        out += matrix @ matrix.T
+    return out
+
+
+def count_links(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                low, high, members = (batch.column(c)[row].as_py() for c in ("low", "high", "members"))
+                words, ends = word_lists(pa.array([m["text"] for m in members], pa.large_string()))
+                hashes = word_hashes(words, plain=True)
+                sets = [np.unique(shingle_hashes(hashes[a:b], WIDTH)) for a, b in zip(ends, ends[1:])]
+                both, size = overlaps(sets), np.array([len(s) for s in sets])
+                good = both / np.maximum(1, size[:, None] + size - both) >= threshold
+                n = (good & meeting(low, high, np.array([m["block"] for m in members]))).sum(1)
+                yield pa.RecordBatch.from_arrays([pa.array([m["rep"] for m in members], pa.int64()), pa.array(n.astype(np.int64))], ["node", "n"])
+
+    return run
+
+
+def degrees(roots: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(node, links): the texts at the threshold or more for each text of a class. All pairs of a class are compared, exactly."""
+    members = texts.join(roots, F.col("rep") == F.col("node")).select("rep", "root", "text")
+    counted = cells(members, "root", ["rep", "text"]).mapInArrow(count_links(threshold), "node long, n long")
+    return counted.groupBy("node").agg(F.sum("n").alias("links"))
+
+
+def class_ids(docs: DataFrame, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(sketched rows, groups of copies, their roots, texts that met others); docs has doc_id and text."""
+    made = cut(docs.mapInArrow(sketch, "doc_id long, key binary, signature binary"))
+    groups = cut(made.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature"), F.count(F.lit(1)).alias("copies")))
+    _, roots, texts = links(groups.select("rep", "signature"), docs, threshold, tolerance)
+    return made, groups, roots, texts
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = 0.0005) -> DataFrame:
-    """(doc_id, class_id, n_links), a row for each row of docs. n_links: verified links of the document's collapsed text, and its other copies."""
+    """(doc_id, class_id, n_links), a row for each row of docs. n_links: other texts of the class at the threshold or more from the document's collapsed text, and its other copies."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = cut(docs.mapInArrow(sketch, "doc_id long, key binary, signature binary"))
-    named = made.where("doc_id is not null")
-    groups = cut(named.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature"), F.count(F.lit(1)).alias("copies")))
-    found, roots = links(groups.select("rep", "signature"), docs, threshold, tolerance)
-    degree = found.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+    made, groups, roots, texts = class_ids(docs, threshold, tolerance)
+    degree = degrees(roots, texts, threshold)
     known = groups.select("key", "rep", "copies").join(roots, F.col("rep") == F.col("node"), "left").drop("node").join(degree, F.col("rep") == F.col("node"), "left")
     known = known.select("key", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    rows = named.select("doc_id", "key").join(known, "key").select("doc_id", "class_id", "n_links")
+    rows = made.where("doc_id is not null").select("doc_id", "key").join(known, "key").select("doc_id", "class_id", "n_links")
     return rows.unionByName(made.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row of docs for each class, the one whose id names it; all columns stay, and so do rows with a null id."""
-    kept = classes(docs, threshold).where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    _, groups, roots, _ = class_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), threshold, 0.0005)
+    kept = groups.join(roots, F.col("rep") == F.col("node"), "left").select(F.coalesce("root", "rep").alias("kept_id")).distinct()
     some = docs.join(kept, docs["doc_id"] == kept["kept_id"]).drop("kept_id").dropDuplicates(["doc_id"])
     return some.unionByName(docs.where("doc_id is null"))
 

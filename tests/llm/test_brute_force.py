@@ -194,6 +194,21 @@ def test_op6_classes(spark, docs):
     assert {r.doc_id: r.class_id for r in op6.query(spark, DIR).collect()} == {k: root(k) for k in docs}
 
 
+def test_op6_counts_all_links_of_a_class(spark):
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(300)]
+    texts = {}
+    for k in range(200):
+        w = list(base)
+        for at in rng.sample(range(300), rng.randrange(1, 7)):
+            w[at] = f"x{k}y{at}"
+        texts[k] = " ".join(w)
+    sets = {k: shingles(t) for k, t in texts.items()}
+    want = {a: sum(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for b in sets if b != a) for a in sets}
+    got = op6.classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r.class_id for r in got} == {0} and {r.doc_id: r.n_links for r in got} == want and len(set(want.values())) > 10
+
+
 def test_op6_pruning_keeps_what_is_similar():
     limits = op6.least_matches(0.8, 0.0005)
     rng = np.random.default_rng(2)
