@@ -2,11 +2,11 @@
 
 Texts are sets of five-word shingles (words without case and punctuation). Texts of the same words are collapsed first. The
 rest get HASHES MinHash values; bands of ROWS values bucket them (a pair at similarity 0.8 shares a bucket with probability
-0.9993). Within a bucket every member is compared with one centre, never with all others. A comparison looks at the MinHash
+0.9993). Within a bucket every member is compared with drawn centres first. A comparison looks at the MinHash
 values in steps: after n of them with m equal, the similarity has the posterior Beta(m + 1, n - m + 1), and the pair is dropped
 once the posterior probability of reaching the threshold falls below `tolerance`. What is left is verified exactly on the
-shingle sets. Each bucket draws its centre by its own hash, so a text meets different ones in its buckets; buckets whose members
-are not all of one class meet again in the next round with new centres, until none is left.
+shingle sets. Each bucket draws its centres by its own hash, so a text meets different ones in its buckets. After two rounds the
+pairs of different classes that still share a bucket are all asked, in blocks.
 
 A class is a connected component of the verified links; its id is its least doc_id. When the classes are known, all texts of a class
 are compared with each other, in blocks, to count the links of each.
@@ -130,56 +130,72 @@ def verify(threshold: float):
     return run
 
 
-def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+def verified(left: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (x, y) that reach the threshold, with their exact similarity; texts travel for pairs that pruning left."""
-    side = lambda c: sketches.select(F.col("rep").alias(c), F.col("signature").alias(f"signature_{c}"))
-    left = cut(pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "signature_x", "signature_y").mapInArrow(prune(least_matches(threshold, tolerance)), "x long, y long"))
     full = left.join(texts.select(F.col("rep").alias("x"), F.col("text").alias("text_x")), "x").join(texts.select(F.col("rep").alias("y"), F.col("text").alias("text_y")), "y")
     return cut(full.select("x", "y", "text_x", "text_y").mapInArrow(verify(threshold), "x long, y long, jaccard double"))
 
 
+def unlike_pairs(limits: list[tuple[int, int]]):
+    """Pairs of different classes in a cell that pruning leaves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [np.zeros((0, 2), np.int64)]
+            for low, high, members in zip(*(batch.column(c).to_pylist() for c in ("low", "high", "members"))):
+                reps, roots, block = (np.array([m[c] for m in members]) for c in ("rep", "root", "block"))
+                values = np.frombuffer(b"".join(m["signature"] for m in members), ">u2").reshape(-1, HASHES)
+                a, b = np.nonzero(np.triu(meeting(low, high, block) & (roots[:, None] != roots[None, :])))
+                equal, before = np.zeros(len(a), int), 0
+                for n, least in limits:
+                    equal = equal + (values[a, before:n] == values[b, before:n]).sum(1)
+                    go = equal >= least
+                    a, b, equal, before = a[go], b[go], equal[go], n
+                out.append(np.stack([np.maximum(reps[a], reps[b]), np.minimum(reps[a], reps[b])], 1))
+            pairs = np.concatenate(out)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["x", "y"])
+
+    return run
+
+
 def links(sketches: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = 0.0005) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(links, roots, texts): verified links (x, y, jaccard) that were asked, (node, root) for the classes, texts that share a bucket.
 
-    Each round every bucket draws centres by a hash, one in the first round and DRAWS in later ones, and compares them with the
-    members of other classes. A bucket is done when its members are of one class, or when two rounds running (2 x DRAWS centres,
-    which is every pair of up to 2 x DRAWS members) found it no link; the whole ends when a round finds no link.
+    Two rounds of centres make most classes: every bucket draws them by a hash, one in the first round and DRAWS in the second,
+    and compares them with the members of other classes. Then all pairs of different classes that share a bucket are asked or
+    pruned, in blocks, so nothing is left to ask: the links found last only join classes.
     Only the texts of documents that share a bucket are read again, in one join; their number grows with the data, so that
     join is not one to broadcast.
     """
     bands = F.array(*[F.xxhash64(F.substring("signature", 2 * ROWS * b + 1, 2 * ROWS), F.lit(b)) for b in range(BANDS)])
     rows = sketches.select(F.explode(bands).alias("bucket"), "rep", F.col("rep").alias("root"))
-    found = asked = roots = texts = before = None
-    turn = 0
-    while True:
-        draws = range(turn, turn + (DRAWS if turn else 1))
+    side = lambda c: sketches.select(F.col("rep").alias(c), F.col("signature").alias(f"signature_{c}"))
+    limits = least_matches(threshold, tolerance)
+    found = asked = roots = texts = None
+    for draws in (range(1), range(1, 1 + DRAWS)):
         order = lambda k: F.min(F.struct(F.xxhash64("rep", "bucket", F.lit(k)).alias("order"), F.col("rep").alias("centre"), F.col("root").alias("centre_root")))
         centres = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.array(*map(order, draws)).alias("centres")).where("low < high")
         rows = cut(rows.join(centres.select("bucket", "centres"), "bucket"))
         others = F.transform(F.filter("centres", lambda c: c["centre_root"] != F.col("root")), lambda c: c["centre"])
-        # a text meets at most 1 + DRAWS centres in each of its buckets; those that recur are taken once, before rows are made of them
+        # a text meets at most DRAWS centres in each of its buckets; those that recur are taken once, before rows are made of them
         asks = rows.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list(others))).alias("to")).select("rep", F.explode("to").alias("centre"))
-        asks = cut(asks.select("rep", "centre", F.greatest("rep", "centre").alias("x"), F.least("rep", "centre").alias("y")))
-        pairs = asks.select("x", "y").distinct()
+        pairs = asks.select(F.greatest("rep", "centre").alias("x"), F.least("rep", "centre").alias("y")).distinct()
         pairs = cut(pairs if asked is None else pairs.join(asked, ["x", "y"], "left_anti"))
         if texts is None:
             pool = rows.select("rep").distinct().hint("merge")
             texts = cut(docs.join(pool, docs["doc_id"] == pool["rep"]).groupBy("rep").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")))
-        new = verified(pairs, sketches, texts, threshold, tolerance)
+        left = cut(pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "signature_x", "signature_y").mapInArrow(prune(limits), "x long, y long"))
+        new = verified(left, texts, threshold)
         if roots is None:
             found, asked, roots = new, pairs, components(new.select(F.col("x").alias("a"), F.col("y").alias("b")))
-        elif new.isEmpty():
-            return found, roots, texts
         else:
             found, asked, roots = found.union(new), asked.union(pairs), merged(roots, new)
-        met, rows = rows, rows.select("bucket", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
-        if turn:
-            linked = asks.join(new, ["x", "y"]).select("rep", "centre")
-            now = cut(met.join(linked, "rep").where(F.exists("centres", lambda c: c["centre"] == F.col("centre"))).select("bucket").distinct())
-            if before is not None:
-                rows = rows.join(now.union(before).distinct(), "bucket", "left_semi")
-            before = now
-        turn += len(draws)
+        rows = rows.select("bucket", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
+    several = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
+    members = cut(rows.join(several, "bucket").join(sketches, "rep").select("bucket", "rep", "root", "signature"))
+    left = cells(members, "bucket", ["rep", "root", "signature"]).mapInArrow(unlike_pairs(limits), "x long, y long").distinct()
+    new = verified(cut(left.join(asked, ["x", "y"], "left_anti")), texts, threshold)
+    return found.union(new), merged(roots, new), texts
 
 
 def merged(roots: DataFrame, new: DataFrame) -> DataFrame:

@@ -209,6 +209,22 @@ def test_op6_counts_all_links_of_a_class(spark):
     assert {r.class_id for r in got} == {0} and {r.doc_id: r.n_links for r in got} == want and len(set(want.values())) > 10
 
 
+def test_op6_asks_all_classes_of_a_bucket(spark):
+    rng = random.Random(12)
+    fill = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts, want = [], []
+    for size in [150] + [2] * 20:
+        base, first = fill(60), len(texts)
+        for _ in range(size):
+            texts.append(" ".join(base + fill(1)))
+            want.append(first)
+    # they share one bucket, and a tolerance of 0 prunes nothing
+    values = [bytes(2 * op6.ROWS) + rng.randbytes(2 * (op6.HASHES - op6.ROWS)) for _ in texts]
+    sketches = spark.createDataFrame([(k, bytearray(v)) for k, v in enumerate(values)], "rep long, signature binary")
+    got = op6.links(sketches, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 0.8, 0.0)[1]
+    assert {r.node: r.root for r in got.collect()} == dict(enumerate(want))
+
+
 def test_op6_pruning_keeps_what_is_similar():
     limits = op6.least_matches(0.8, 0.0005)
     rng = np.random.default_rng(2)
