@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quotelark.scratch import cut  # noqa: F401  the operators take it from here
+
 #: Characters of text that one block of rows may hold inside a task (a longer single text is a block of its own).
 BLOCK_CHARS = 2_000_000
 
@@ -26,23 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as spark.checkpoint.dir names it; a temporary one only where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="quotelark-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared scratch folder and read it again: lineage ends there, and a lost executor repeats nothing before it."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/quotelark/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def held(fold: Column | str, modulus: int, at: int) -> Column:
     """True where crc32 of the id, written as text, leaves `at` modulo `modulus` (a null id: false)."""
     key = F.col(fold) if isinstance(fold, str) else fold

@@ -1,8 +1,9 @@
 """Mixing sources to target weights: repetition rates per source, then whole copies plus one seeded Bernoulli copy.
 
 Nulls, ties and odd input: a null source is a source of its own and comes last; a null or blank text has size 0 and takes
-nothing; repeated rows with the same id draw the same copies, so reruns agree; a source of size 0 has target 0 and rate 0;
-an empty table gives an empty result. Columns of the input whose names clash with the added ones are replaced by them.
+nothing; repeated rows with the same id draw the same copies, so reruns agree; rows with a null id draw by their text; a source
+of size 0 has target 0 and rate 0; very long texts are counted whole, as one row; an empty table gives an empty result. Columns
+of the input whose names clash with the added ones (ADDED, and `copy` in copies_of) are replaced by them; no other name matters.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from quotelark.llm.common import cut, table
 
 ADDED = ("size", "source_size", "target", "rate", "copies", "taken")
+#: Sources whose targets are broadcast, at most (some 100 bytes each); more are joined by sorting.
+BROADCAST_SOURCES = 100_000
 
 
 def n_words(text: Column) -> Column:
@@ -65,19 +68,25 @@ def chance(key: Column, seed: str) -> Column:
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), growth: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
-    """docs with size, source_size, target, rate, copies and taken. Only sums by source meet in a shuffle; texts stay where they are."""
-    docs = docs.drop(*ADDED)
-    sized = docs.withColumn("size", n_words(F.col("text")))
-    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    """docs with size, source_size, target, rate, copies and taken. Only sums by source meet in a shuffle; texts stay where they are.
+
+    Above BROADCAST_SOURCES sources the targets are joined by sorting, where adaptive execution splits a source that is too large.
+    """
+    kept = [c for c in docs.columns if c not in ADDED]
+    source, key = F.col("row.source"), F.coalesce(F.col("row.doc_id").cast("string"), F.md5(F.coalesce("row.text", F.lit("")).cast("binary")))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"))
+    sized = rows.withColumn("size", n_words(F.col("row.text")))
+    by_source = sized.groupBy(source.alias("source")).agg(F.sum("size").alias("source_size"))
     goals = targets(by_source, weights, growth, cap).select(F.col("source").alias("goal_source"), "source_size", "target")
+    few = goals.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    extra = (chance(F.col("doc_id"), seed) < F.col("rate") - F.floor("rate")).cast("long")
+    extra = (chance(key, seed) < F.col("rate") - F.floor("rate")).cast("long")
     return (
-        sized.join(goals, F.col("source").eqNullSafe(F.col("goal_source")))
-        .drop("goal_source")
+        sized.join(F.broadcast(goals) if few else goals.hint("merge"), source.eqNullSafe(F.col("goal_source")))
         .withColumn("rate", rate)
         .withColumn("copies", F.floor("rate") + extra)
         .withColumn("taken", F.col("size") * F.col("copies"))
+        .select("row.*", *ADDED)
     )
 
 

@@ -6,12 +6,14 @@ sum over all texts of a language is that language's prototype. A text gets the l
 cosine with its profile. Letters are lower-cased; whatever is no letter counts as one space.
 
 Nulls, ties and odd input: a null text, or one without a letter, is `und` with score 0; null languages teach nothing; of equal
-cosines the first language by code point wins; without any training text all is `und`; repeated rows count each time; long
-texts are read in chunks, whole. Only doc_id, text and lang are read, so other columns can't clash.
+cosines the first language by code point wins; without any training text all is `und`; repeated rows count each time; very long
+texts are read in chunks, whole, that meet inside a word, so their trigrams are the same as without chunks; an empty table gives
+an empty result. Only doc_id, text and lang are read, so other columns can't clash.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +24,23 @@ from pyspark.sql import functions as F
 from quotelark.llm.common import blocks, held, table
 
 DIMS = 1024
-#: Languages that may be learned at most; their prototypes are all that executors are sent (4 kB each).
-MAX_LANGS = 2000
+#: Languages whose prototypes are sent to executors at once (4 kB each); more go in several passes.
+SENT_LANGS = 2000
 UNKNOWN = "und"
 CHUNK = 1_000_000
+_TWO = re.compile(r"[^\W\d_]{2}")
+
+
+def chunked(text: str, size: int = CHUNK) -> list[str]:
+    """text in chunks of about `size` characters; two neighbours share two letters, so every trigram stands in one chunk."""
+    out, begin = [], 0
+    while len(text) - begin > size + 2:
+        seam = next((m.start() for m in _TWO.finditer(text, begin + size) if m[0].isalpha()), None)
+        if seam is None:
+            break
+        out.append(text[begin : seam + 2])
+        begin = seam
+    return [*out, text[begin:]]
 
 
 class Profiles:
@@ -42,10 +57,9 @@ class Profiles:
         return got
 
     def grams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(code points of each different trigram, text of each trigram, number of each trigram)."""
-        padded = [f" {t.lower()} " for t in texts]
-        points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
-        owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in padded])
+        """(code points of each different trigram, text of each trigram, number of each trigram) of padded, lower-case texts."""
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
         present = np.flatnonzero(np.bincount(points))
         alphabet = [32] + [int(p) for p in present if chr(p).isalpha()]
         dense = np.zeros(int(present[-1]) + 1, np.int32)
@@ -79,9 +93,9 @@ class Profiles:
         out = np.zeros((n, self.dims), np.float64)
         chunks, owners = [], []
         for text, g in zip(texts, group):
-            for at in range(0, len(text), CHUNK):
-                chunks.append(text[max(0, at - 2) : at + CHUNK])
-                owners.append(g)
+            pieces = chunked(f" {text.lower()} ")
+            chunks += pieces
+            owners += [g] * len(pieces)
         if not chunks:
             return out
         grams, owner, number = self.grams(chunks)
@@ -122,9 +136,7 @@ def prototypes(labelled: DataFrame, dims: int = DIMS, seed: int = 1) -> dict[str
     rows = labelled.where("text is not null and lang is not null").select("text", "lang")
     partial = rows.mapInArrow(learn(dims, seed), "lang string, vector array<double>")
     sums = partial.select("lang", F.posexplode("vector").alias("d", "x")).groupBy("lang", "d").agg(F.sum("x").alias("x"))
-    packed = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("d", "x")))["x"].alias("vector")).limit(MAX_LANGS + 1).collect()
-    if len(packed) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    packed = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("d", "x")))["x"].alias("vector")).collect()  # one row for each language
     out = {}
     for row in sorted(packed, key=lambda r: r["lang"]):
         vector = np.array(row["vector"])
@@ -133,7 +145,8 @@ def prototypes(labelled: DataFrame, dims: int = DIMS, seed: int = 1) -> dict[str
     return out
 
 
-def guess(known: dict[str, np.ndarray], dims: int, seed: int):
+def guess(known: dict[str, np.ndarray], dims: int, seed: int, carried: list[str]):
+    """Puts the best of the known languages into lang_pred and score, where it beats what stands there; other columns are carried."""
     names = list(known)
     matrix = np.stack(list(known.values())) if known else np.zeros((0, dims), np.float32)
 
@@ -141,24 +154,31 @@ def guess(known: dict[str, np.ndarray], dims: int, seed: int):
         profiles = Profiles(dims, seed)
         for block in blocks(batches):
             texts = [t or "" for t in block.column("text").to_pylist()]
-            lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+            lang, score = block.column("lang_pred").to_pylist(), block.column("score").to_numpy()
             if names:
                 got = profiles.bundles(texts, np.arange(len(texts)), len(texts))
                 norm = np.linalg.norm(got, axis=1)
                 cosine = got @ matrix.T / np.maximum(norm, 1e-9)[:, None]
                 best = cosine.argmax(1)
                 some = np.array([any(map(str.isalpha, t)) for t in texts])
-                lang = [names[k] if ok else UNKNOWN for k, ok in zip(best, some)]
-                score = np.where(some, np.clip(cosine[np.arange(len(texts)), best], 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("held_out"), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
+                now = np.where(some, np.clip(cosine[np.arange(len(texts)), best], 0, 1), 0.0)
+                better = some & ((now > score) | np.array([x == UNKNOWN for x in lang]))
+                lang = [names[k] if ok else x for k, ok, x in zip(best, better, lang)]
+                score = np.where(better, now, score)
+            yield pa.RecordBatch.from_arrays([*map(block.column, carried), pa.array(lang, pa.string()), pa.array(score)], [*carried, "lang_pred", "score"])
 
     return run
 
 
 def identify(docs: DataFrame, known: dict[str, np.ndarray], dims: int = DIMS, seed: int = 1) -> DataFrame:
-    """docs (doc_id, held_out, text) with lang_pred and score, without a shuffle."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text")
-    return docs.mapInArrow(guess(known, dims, seed), "doc_id long, held_out boolean, lang_pred string, score double")
+    """docs (doc_id, held_out, text) with lang_pred and score, without a shuffle; one pass for each SENT_LANGS languages."""
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    names = list(known)
+    for at in range(0, len(names), SENT_LANGS):
+        part = {k: known[k] for k in names[at : at + SENT_LANGS]}
+        carried = ["doc_id long", "held_out boolean"] + ["text string"] * (at + SENT_LANGS < len(names))
+        out = out.mapInArrow(guess(part, dims, seed, [c.split()[0] for c in carried]), ", ".join([*carried, "lang_pred string", "score double"]))
+    return out.drop("text")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,9 +9,10 @@ Escaping is reversible: `\` is written `\\`, `<|` is written `<\|` and, in a rol
 output is always the template's own.
 
 Nulls, ties and odd input: a null text or part list is empty, a null role is the empty role; rows of a conversation go by turn
-(null last), then role, then text; repeated rows are repeated turns; rows with a null conv_id make one conversation; parts of
-an unknown type are written as a placeholder of 0 tokens; an empty table gives an empty result. Only the named columns are read.
-A conversation is built from rows that arrive sorted, one conversation in memory at a time.
+(null last), then role, then text, then all parts; repeated rows are repeated turns; a row with a null conv_id is a conversation
+of its own; parts of an unknown type are written as a placeholder of 0 tokens; a very long text is written whole; an empty table
+gives an empty result. Only the named columns are read, so others can't clash. A conversation is built from rows that arrive
+sorted, one conversation in memory at a time.
 """
 
 from __future__ import annotations
@@ -77,7 +78,7 @@ class Visitor:
         if kind == "text":
             self.visit_text(role, part.get("text") or "")
         else:
-            count = getattr(self, f"tokens_{kind}", lambda _: 0)(part)
+            count = {"image": self.tokens_image, "audio": self.tokens_audio, "document": self.tokens_document}.get(kind, lambda _: 0)(part)
             self.attachments.append({"turn": turn, "kind": kind, "ref": part.get("ref"), "begin": self.at, "tokens": count})
             self.write(f"<|{escape(kind)}:{len(self.attachments) - 1}|>")
 
@@ -108,7 +109,7 @@ def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     visitor, current, n, rows, held = None, None, 0, [], 0
     for batch in batches:
         for row in batch.to_pylist():
-            if visitor is None or row["conv_id"] != current:
+            if visitor is None or row["conv_id"] is None or row["conv_id"] != current:
                 if visitor is not None:
                     rows.append(visitor.row(current, n))
                     held += visitor.at
@@ -130,12 +131,13 @@ def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def format_conversations(rows: DataFrame) -> DataFrame:
     """rows (conv_id, turn, role, and text or parts array<struct<type, text, ref, width, height, seconds, pages>>) to conversations."""
-    if "parts" not in rows.columns:
+    typed = "parts" in rows.columns
+    if not typed:
         rows = rows.withColumn("parts", F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))))
     keyed = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "parts")
-    ordered = keyed.repartition("conv_id").sortWithinPartitions(
-        "conv_id", F.col("turn").asc_nulls_last(), F.coalesce("role", F.lit("")), F.coalesce(F.col("parts")[0]["text"], F.lit(""))
-    )
+    role, text = F.coalesce("role", F.lit("")), F.coalesce(F.col("parts")[0]["text"], F.lit(""))
+    dealt = keyed.repartition(F.coalesce("conv_id", F.xxhash64("turn", role, text)))  # rows without a conversation are spread
+    ordered = dealt.sortWithinPartitions("conv_id", F.col("turn").asc_nulls_last(), role, text, *([F.to_json("parts")] if typed else []))
     return ordered.select("conv_id", "role", "parts").mapInArrow(build, FORMATTED_SQL)
 
 

@@ -221,7 +221,7 @@ def test_op6_asks_all_classes_of_a_bucket(spark):
     # they share one bucket, and a tolerance of 0 prunes nothing
     values = [bytes(2 * op6.ROWS) + rng.randbytes(2 * (op6.HASHES - op6.ROWS)) for _ in texts]
     sketches = spark.createDataFrame([(k, bytearray(v)) for k, v in enumerate(values)], "rep long, signature binary")
-    got = op6.links(sketches, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 0.8, 0.0)[1]
+    got = op6.links(sketches, lambda reps: spark.createDataFrame(list(enumerate(texts)), "rep long, text string").join(reps, "rep"), 0.8, 0.0)[0]
     assert {r.node: r.root for r in got.collect()} == dict(enumerate(want))
 
 

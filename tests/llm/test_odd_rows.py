@@ -15,6 +15,8 @@ from quotelark.llm import op9_decontamination as op9
 from quotelark.llm import op10_mixing as op10
 from quotelark.llm.common import held
 
+PROSE, OTHER = (" ".join(f"{w}{k} and {w}{k % 17} or{k % 29}" for k in range(60)) for w in ("word", "item"))
+
 
 def labels(spark, rows=()):
     return spark.createDataFrame(list(rows), "doc_id long, quality int, toxic int")
@@ -140,3 +142,11 @@ def test_op10(odd, none):
     assert op10.mix(none).count() == 0
     assert op10.copies_of(got).count() == sum(r.copies for r in rows)
     assert got.agg(F.sum("taken")).first()[0] > 0
+
+
+def test_op6_rows_that_share_an_id(spark):
+    rows = [(1, PROSE, "a"), (2, OTHER, "b"), (2, "quite unlike the rest", "c"), (2, PROSE, "d"), (3, OTHER, "e"), (None, OTHER, "f")]
+    given = spark.createDataFrame(rows, "doc_id long, text string, kept_id string")
+    kept = op6.deduplicate(given)
+    assert kept.columns == given.columns and sorted(r.kept_id for r in kept.collect()) == ["a", "b", "c", "f"]
+    assert sorted((r.doc_id or 0, r.class_id or 0, r.n_links) for r in op6.classes(given).collect()) == [(0, 0, 0), (1, 1, 1), (2, 1, 1), (2, 2, 0), (2, 2, 1), (3, 2, 1)]
