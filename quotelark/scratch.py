@@ -29,7 +29,11 @@ def new_path(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends there, and a lost executor repeats nothing before it."""
+    """Write df to the shared folder and read it again: lineage ends there, and a lost executor repeats nothing before it.
+
+    Nothing needs the shuffle files behind it any more; a collection on the driver lets Spark's cleaner delete them at once.
+    """
     path = new_path(df.sparkSession)
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.java.lang.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
