@@ -16,7 +16,8 @@ Texts, not ids, are compared: each different text has a node of its own, numbere
 that share an id but not their text are judged each by its own text, and both stay unless their texts are alike.
 
 Hot keys: a bucket or a centre that a large share of all texts meets is only ever the many side of a sort-merge join whose other
-side has one row for it, so adaptive execution splits it over tasks; inside a bucket or class, pairs are made in blocks.
+side is a written table with one row for it, so adaptive execution splits it over tasks; inside a bucket or class, pairs are made
+in blocks.
 
 Nulls, ties and odd input: a null text is empty; texts without words are copies of each other; a text of under five words is
 one shingle; a very long text is read whole, in a block of its own; every row has a row in the result, repeated rows too; a null
@@ -240,7 +241,7 @@ def links(
     for draws in (range(1), range(1, 1 + DRAWS)):
         order = lambda k: F.min(F.struct(F.xxhash64("rep", "bucket", F.lit(k)).alias("order"), F.col("rep").alias("centre"), F.col("root").alias("centre_root")))
         centres = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.array(*map(order, draws)).alias("centres")).where("low < high")
-        rows = cut(rows.join(centres.select("bucket", "centres").hint("merge"), "bucket"))
+        rows = cut(rows.join(cut(centres.select("bucket", "centres")).hint("merge"), "bucket"))
         others = F.transform(F.filter("centres", lambda c: c["centre_root"] != F.col("root")), lambda c: c["centre"])
         # a text meets at most DRAWS centres in each of its buckets; those that recur are taken once, before rows are made of them
         asks = rows.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list(others))).alias("to")).select("rep", F.explode("to").alias("centre"))
@@ -256,7 +257,7 @@ def links(
             roots = merged(roots, new)
         rows = rows.select("bucket", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
     several = rows.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-    members = rows.join(several.hint("merge"), "bucket").join(sketches.hint("merge"), "rep").select("bucket", "rep", "root", "signature")
+    members = rows.join(cut(several).hint("merge"), "bucket").join(sketches.hint("merge"), "rep").select("bucket", "rep", "root", "signature")
     near = cut(cells(cut(members), "bucket", ["rep", "root", "signature"]).mapInArrow(loose_classes(limits), "a long, b long").distinct())
     loose = components(near).select(F.col("node").alias("class"), F.col("root").alias("loose"))
     known = texts.join(roots, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("root", "rep").alias("root"), "text")
@@ -283,7 +284,7 @@ def cells(members: DataFrame, group: str, carried: list[str]) -> DataFrame:
     """
     size = F.sum(F.length("text")) if "text" in carried else F.lit(0)
     n_blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(size / CELL_CHARS), F.lit(1)).cast("int")
-    blocks_ = members.groupBy(group).agg(n_blocks.alias("n_blocks")).withColumnRenamed(group, "group")
+    blocks_ = cut(members.groupBy(group).agg(n_blocks.alias("n_blocks")).withColumnRenamed(group, "group"))
     dealt = members.join(blocks_.hint("merge"), members[group] == blocks_["group"]).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("n_blocks")).cast("int"))
     met = dealt.select("group", "block", *carried, F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other"))
     met = met.select("group", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.struct("block", *carried).alias("member"))
@@ -369,7 +370,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = 0.
     named = kept_rows(groups, roots).select(F.col("root").alias("class"), F.col("kept.doc_id").alias("class_id"))
     known = groups.select("key", "rep", "copies").join(roots, F.col("rep") == F.col("node"), "left").join(degree, F.col("rep") == F.col("linked"), "left")
     known = known.join(named, F.coalesce("root", "rep") == F.col("class")).select("key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    rows = made.where("doc_id is not null").select("doc_id", "key").join(known.hint("merge"), "key").select("doc_id", "class_id", "n_links")
+    rows = made.where("doc_id is not null").select("doc_id", "key").join(cut(known).hint("merge"), "key").select("doc_id", "class_id", "n_links")
     return rows.unionByName(made.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 

@@ -1,5 +1,8 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
 
+import time
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,3 +153,16 @@ def test_op6_rows_that_share_an_id(spark):
     kept = op6.deduplicate(given)
     assert kept.columns == given.columns and sorted(r.kept_id for r in kept.collect()) == ["a", "b", "c", "f"]
     assert sorted((r.doc_id or 0, r.class_id or 0, r.n_links) for r in op6.classes(given).collect()) == [(0, 0, 0), (1, 1, 1), (2, 1, 1), (2, 2, 0), (2, 2, 1), (3, 2, 1)]
+
+
+def test_op2_rows_that_share_an_id(spark):
+    rows = [(1, PROSE, "a"), (2, PROSE, "b"), (2, OTHER, "c"), (3, f"{OTHER} and more", "d")]
+    given = spark.createDataFrame(rows, "doc_id long, text string, cut_spans string")
+    left = op2.remove_repeats(given)
+    assert left.columns == given.columns and {r.cut_spans: r.text for r in left.collect()} == {"a": PROSE, "c": OTHER, "d": "and more"}
+
+
+def test_op2_long_repeated_line():
+    began = time.process_time()
+    got = op2.signatures(op2.shingle_hashes(np.tile(np.arange(4, dtype=np.uint64), 200_000), 5), 46)
+    assert 1 <= len(got[0]) <= 16 and time.process_time() - began < 2
