@@ -4,9 +4,12 @@ Both sides are reduced to lower-case words of letters and digits with single spa
 e = floor(share x m) edits; it is split into e + 1 pieces, so a passage within e edits holds one piece unchanged. One
 Aho-Corasick pass over a document finds all exact piece hits; Myers' bit-parallel distance then verifies the text about each.
 
-Nulls, ties and odd input: null or empty texts and items match nothing; repeated documents and items are each reported; items
-shorter than `min_chars` after reduction are skipped, as they'd match ordinary prose; an empty table gives an empty result.
-The result has columns of its own only, so other columns of the inputs can't clash.
+An item of under `min_chars` characters would be alike to ordinary prose, so it has no edit budget and is found only as whole words.
+
+Nulls, ties and odd input: null or empty texts and items match nothing; repeated documents and items are each reported; of the
+passages of one item in a document the first of the least distance is; a very long text is scanned whole, in a block of its own;
+an empty table gives an empty result. find_leaks() has columns of its own only, and decontaminate() judges each row where it
+lies, so null or shared ids and clashing names don't matter.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 from quotelark.llm.common import blocks, table
 
 SCHEMA = "doc_id long, item_id long, distance int, begin int, end int"
-#: Characters of test items in one automaton, the most that is sent to an executor at once.
+#: Characters of test items in one automaton, the most that the driver holds and an executor is sent at once.
 ITEM_CHARS = 4_000_000
 _WORDS = re.compile(r"[^\W_]+")
 
@@ -37,8 +40,8 @@ def pieces(item: str, edits: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(marks, marks[1:])]
 
 
-def myers(item: str, text: str) -> tuple[int, int]:
-    """The least edit distance of item to any substring of text, and where the first such substring ends."""
+def myers(item: str, text: str, anchored: bool = False) -> tuple[int, int]:
+    """The least edit distance of item to any substring of text, and where the first such substring ends; anchored: to any prefix."""
     m = len(item)
     masks: dict[str, int] = {}
     for k, c in enumerate(item):
@@ -55,7 +58,7 @@ def myers(item: str, text: str) -> tuple[int, int]:
             score += 1
         elif less & top:
             score -= 1
-        more, less = (more << 1) & full, (less << 1) & full
+        more, less = (more << 1 | anchored) & full, (less << 1) & full
         up = less | (full & ~((eq | down) | more))
         down = (eq | down) & more
         if score < best:
@@ -63,11 +66,11 @@ def myers(item: str, text: str) -> tuple[int, int]:
     return best, where
 
 
-def automaton(items: list[tuple[int, str]], share: float):
+def automaton(items: list[tuple[int, str]], share: float, min_chars: int):
     """An automaton over all pieces; each piece carries (item's place, piece's begin, edits)."""
     found: dict[str, list[tuple[int, int, int]]] = {}
     for at, (_, item) in enumerate(items):
-        edits = int(len(item) * share)
+        edits = int(len(item) * share) if len(item) >= min_chars else 0
         for begin, piece in pieces(item, edits):
             found.setdefault(piece, []).append((at, begin, edits))
     auto = ahocorasick.Automaton()
@@ -77,35 +80,54 @@ def automaton(items: list[tuple[int, str]], share: float):
     return auto
 
 
-def leaks(text: str, items: list[tuple[int, str]], auto) -> list[tuple[int, int, int, int]]:
+def near(starts: set[int], size: int, edits: int) -> Iterator[tuple[int, int]]:
+    """The windows about the places where an item may start, overlapping ones as one."""
+    low = high = None
+    for start in sorted(starts):
+        if high is not None and start - edits <= high:
+            high = start + size + edits
+            continue
+        if high is not None:
+            yield low, high
+        low, high = max(0, start - edits), start + size + edits
+    if high is not None:
+        yield low, high
+
+
+def leaks(text: str, items: list[tuple[int, str]], auto, min_chars: int) -> list[tuple[int, int, int, int]]:
     """(item_id, distance, begin, end) of the best passage of each item that text holds."""
-    spots: dict[int, set[int]] = {}
+    starts: dict[int, set[int]] = {}
     budget: dict[int, int] = {}
     for last, (size, uses) in auto.iter(text):
         for at, begin, edits in uses:
-            # spots within the edit budget of each other share a window twice that wide
-            spots.setdefault(at, set()).add((last + 1 - size - begin) // (edits + 1))
+            starts.setdefault(at, set()).add(last + 1 - size - begin)
             budget[at] = edits
     out = []
-    for at, where in spots.items():
+    for at, where in starts.items():
         item_id, item = items[at]
         edits, best = budget[at], None
-        for spot in sorted(where):
-            low = max(0, spot * (edits + 1) - edits)
-            distance, end = myers(item, text[low : (spot + 1) * (edits + 1) + len(item) + edits])
+        if len(item) < min_chars:
+            whole = [k for k in where if text[k - 1 : k] in ("", " ") and text[k + len(item) : k + len(item) + 1] in ("", " ")]
+            if whole:
+                out.append((item_id, 0, min(whole), min(whole) + len(item)))
+            continue
+        for low, high in near(where, len(item), edits):
+            distance, end = myers(item, text[low:high])
             if distance <= edits and (best is None or distance < best[0]):
-                best = (distance, max(0, low + end - len(item)), low + end)
+                best = (distance, low + end)
         if best:
-            out.append((item_id, *best))
+            distance, end = best
+            back = myers(item[::-1], text[max(0, end - len(item) - edits) : end][::-1], anchored=True)[1]
+            out.append((item_id, distance, end - back, end))
     return out
 
 
-def item_blocks(items: DataFrame, min_chars: int) -> Iterator[list[tuple[int, str]]]:
+def item_blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The reduced items in blocks of bounded size; the driver holds one block at a time."""
     block, size = [], 0
     for row in items.select("item_id", "text").where("text is not null").toLocalIterator():
         item = reduced(row["text"])
-        if len(item) < min_chars:
+        if not item:
             continue
         if block and size + len(item) > ITEM_CHARS:
             yield block
@@ -115,16 +137,14 @@ def item_blocks(items: DataFrame, min_chars: int) -> Iterator[list[tuple[int, st
     yield block
 
 
-def scan(items: list[tuple[int, str]], share: float):
-    sent = {}
-
+def scan(items: list[tuple[int, str]], share: float, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = sent.get("auto") or (automaton(items, share) if items else None)
+        auto = automaton(items, share, min_chars) if items else None
         for block in blocks(batches):
             rows = []
             for doc_id, text in zip(block.column("doc_id").to_pylist(), block.column("text").to_pylist()):
                 if auto is not None and text:
-                    rows += [(doc_id, *x) for x in leaks(reduced(text), items, auto)]
+                    rows += [(doc_id, *x) for x in leaks(reduced(text), items, auto, min_chars)]
             cols = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))],
@@ -134,6 +154,15 @@ def scan(items: list[tuple[int, str]], share: float):
     return run
 
 
+def clean(items: list[tuple[int, str]], share: float, min_chars: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto = automaton(items, share, min_chars) if items else None
+        for block in blocks(batches):
+            yield block.filter(pa.array([auto is None or not t or not leaks(reduced(t), items, auto, min_chars) for t in block.column("text").to_pylist()], pa.bool_()))
+
+    return run
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, share: float = 0.05, min_chars: int = 40) -> DataFrame:
     """One row for each document and test item it holds within the edit budget: distance, and the span in the reduced text.
 
@@ -141,16 +170,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = 0.05, min_chars
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
-    for block in item_blocks(items, min_chars):
-        part = docs.mapInArrow(scan(block, share), SCHEMA)
+    for block in item_blocks(items):
+        part = docs.mapInArrow(scan(block, share, min_chars), SCHEMA)
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, share: float = 0.05, min_chars: int = 40) -> DataFrame:
-    """docs without those that hold a test item; all columns stay. Rows with a null id can't be named by a hit, so they stay."""
-    hits = find_leaks(docs, items, share, min_chars).select(F.col("doc_id").alias("leaking_id")).distinct()
-    return docs.join(hits, docs["doc_id"] == F.col("leaking_id"), "left_anti")
+    """docs without those that hold a test item; all columns stay. Each block of items is one pass over what the last one left."""
+    for block in item_blocks(items):
+        docs = docs.mapInArrow(clean(block, share, min_chars), docs.schema)
+    return docs
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

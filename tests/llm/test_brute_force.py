@@ -256,6 +256,40 @@ def test_op7_edited_texts(spark, docs):
     assert {r.doc_id: r.edited_sha256 for r in op7.query(spark, DIR).collect()} == want
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        before, row = row, [i] + [0] * len(b)
+        for j, d in enumerate(b, 1):
+            row[j] = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (c != d))
+    return row[-1]
+
+
+def test_op9_edited_items_against_brute_force():
+    rng = random.Random(7)
+    items = [(k, " ".join("".join(rng.choice("abcde") for _ in range(5)) for _ in range(12))) for k in range(6)]
+    auto = op9.automaton(items, 0.05, 40)
+    for _ in range(60):
+        _, item = rng.choice(items)
+        part = list(item)
+        for _ in range(rng.randrange(7)):
+            at = rng.randrange(len(part))
+            part[at : at + rng.randrange(2)] = rng.choice("xyz")
+        text = f"some words {''.join(part)} end"
+        want = {}
+        for k, it in items:
+            row = [0] * (len(text) + 1)
+            for i, c in enumerate(it, 1):
+                before, row = row, [i] + [0] * len(text)
+                for j, d in enumerate(text, 1):
+                    row[j] = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (c != d))
+            if min(row) <= int(len(it) * 0.05):
+                want[k] = min(row)
+        got = op9.leaks(text, items, auto, 40)
+        assert {k: d for k, d, *_ in got} == want
+        assert all(edit_distance(dict(items)[k], text[b:e]) == d for k, d, b, e in got)
+
+
 def test_op9_distance_and_pieces():
     rng = random.Random(5)
     for _ in range(60):
@@ -266,7 +300,10 @@ def test_op9_distance_and_pieces():
             before, row = row, [i] + [0] * len(text)
             for j, d in enumerate(text, 1):
                 row[j] = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (c != d))
-        assert op9.myers(item, text)[0] == min(row)
+        least, end = op9.myers(item, text)
+        assert least == min(row) and row[end] == least
+        _, back = op9.myers(item[::-1], text[:end][::-1], anchored=True)
+        assert edit_distance(item, text[end - back : end]) == least
         assert "".join(p for _, p in op9.pieces(item, 3)) == item
 
 

@@ -130,7 +130,7 @@ def test_op9(spark, odd, none):
     got = op9.find_leaks(odd, items).collect()
     assert {r.doc_id for r in got} == {5, 6, 7, 9, None} and {r.item_id for r in got} == {1} and all(r.distance == 0 for r in got)
     kept = op9.decontaminate(odd, items)
-    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {None, 0, 1, 2, 3, 4, 8, 10, 11, 12}
+    assert kept.columns == odd.columns and sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted((r.doc_id or 0, r.text or "") for r in odd.collect() if r.text is None or "word10 and" not in r.text)
     assert op9.find_leaks(none, items).count() == 0 and op9.find_leaks(odd, items.limit(0)).count() == 0
 
 
@@ -166,3 +166,11 @@ def test_op2_long_repeated_line():
     began = time.process_time()
     got = op2.signatures(op2.shingle_hashes(np.tile(np.arange(4, dtype=np.uint64), 200_000), 5), 46)
     assert 1 <= len(got[0]) <= 16 and time.process_time() - began < 2
+
+
+def test_op9_short_items_and_shared_ids(spark):
+    rows = [(1, "it is Paris, France."), (1, "nothing here"), (None, "paris france"), (2, "paris francesca"), (3, "x" * 9)]
+    given = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, leaking_id string")
+    items = spark.createDataFrame([(7, "Paris, France")], "item_id long, text string")
+    assert sorted((r.doc_id or 0, r.begin, r.end) for r in op9.find_leaks(given, items).collect()) == [(0, 0, 12), (1, 6, 18)]
+    assert {(r.doc_id, r.text) for r in op9.decontaminate(given, items).collect()} == {rows[1], rows[3], rows[4]}
