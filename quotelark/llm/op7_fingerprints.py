@@ -8,23 +8,25 @@ A fingerprint is written as K groups of four hex digits.
 
 Nulls, ties and odd input: a null text is empty, and a text without words has a fingerprint of zeros, like only to another such;
 equal texts have equal fingerprints, so repeated rows agree; rows of one id go by text; rows with a null id come after all
-others; one row is its own next document; an empty table gives an empty result. Only doc_id and text are read.
+others, by a hash of their text and then the text, in ranges of that hash; one row is its own next document; a very long text is
+read whole, in a block of its own; an empty table gives an empty result. Only doc_id and text are read, so other names can't clash.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotelark.llm.common import BLOCK_CHARS, mixed, table, word_hashes, word_lists
 
 SAMPLES = 64
-MAX_BUCKETS = 2000
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -133,38 +135,44 @@ def compare(samples: int, seed: int):
 def in_order(docs: DataFrame, buckets: int) -> DataFrame:
     """docs dealt by ranges of falling id, each range followed by a copy of the next range's first document (`ahead`).
 
-    The driver holds two numbers a range. Texts are shuffled once, and no task needs more than its own ranges.
+    The driver holds a few numbers a range, and a table of as many rows is broadcast. Texts are shuffled once, and no task needs
+    more than its own ranges.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = docs.select("doc_id")
-    cuts = sorted({int(x) for x in ids.approxQuantile("doc_id", [k / buckets for k in range(1, buckets)], 0.2 / buckets)}, reverse=True) if buckets > 1 else []
-    number = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in cuts]), lambda x: x > F.col("doc_id"))) if cuts else F.lit(0)
-    bucket = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(number)
-    heads = {r["bucket"]: r["head"] for r in ids.groupBy(bucket.alias("bucket")).agg(F.max("doc_id").alias("head")).collect()}
+    text, spark = F.coalesce("text", F.lit("")), docs.sparkSession
+    tie = F.when(F.col("doc_id").isNull(), F.xxhash64(text)).otherwise(F.lit(0))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("tie", tie)
+    ids = docs.select("doc_id", "tie", F.coalesce(F.col("doc_id").cast("double"), F.lit(0.0)).alias("id"))
+    rows, nulls = ids.agg(F.count(F.lit(1)), F.count(F.when(F.col("doc_id").isNull(), 1))).first()
+    cuts = sorted({float(x) for x in ids.where("doc_id is not null").approxQuantile("id", [k / buckets for k in range(1, buckets)], 0.2 / buckets)}) if buckets > 1 and rows > nulls else []
+    if len(cuts) > 0:
+        place = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="id", outputCol="place")
+        number = lambda df: place.transform(df).withColumn("place", len(cuts) - F.col("place").cast("long"))
+    else:
+        number = lambda df: df.withColumn("place", F.lit(0).cast("long"))
+    spread = max(1, math.ceil(buckets * nulls / max(rows, 1)))
+    late = len(cuts) + 1 + F.least(F.floor((F.col("tie") / F.lit(2.0**64) + 0.5) * spread), F.lit(spread - 1))
+    placed = lambda df: number(df).withColumn("own", F.when(F.col("doc_id").isNull(), late).otherwise(F.col("place")))
+    heads = sorted(tuple(r) for r in placed(ids).groupBy("own").agg(F.max("doc_id").alias("head"), F.min("tie").alias("head_tie")).collect())  # one row a range
     if not heads:
         return docs.select(F.lit(0).alias("bucket"), F.lit(False).alias("ahead"), "doc_id", "text")
-    full = sorted(heads)
-    before = {b: full[k - 1] for k, b in enumerate(full)}  # the first range follows the last one
-    every = range(len(cuts) + 2)
-    head = F.array(*[F.lit(heads.get(b)).cast("long") for b in every])[F.col("own")]
-    into = F.array(*[F.lit(before.get(b, 0)) for b in every])[F.col("own")]
-    rows = docs.withColumn("own", bucket).withColumn(
-        "to",
-        F.when(F.col("doc_id").eqNullSafe(head), F.array(F.struct(F.col("own").alias("bucket"), F.lit(False).alias("ahead")), F.struct(into.alias("bucket"), F.lit(True).alias("ahead")))).otherwise(
-            F.array(F.struct(F.col("own").alias("bucket"), F.lit(False).alias("ahead")))
-        ),
-    )
+    into = [(*h, heads[k - 1][0]) for k, h in enumerate(heads)]  # the first range follows the last one
+    known = spark.createDataFrame(into, "at long, head long, head_tie long, before long")
+    dealt = placed(docs.withColumn("id", F.coalesce(F.col("doc_id").cast("double"), F.lit(0.0)))).join(F.broadcast(known), F.col("own") == F.col("at"))
+    first = F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("tie") == F.col("head_tie"))
+    mine = F.struct(F.col("own").alias("bucket"), F.lit(False).alias("ahead"))
+    to = F.when(first, F.array(mine, F.struct(F.col("before").alias("bucket"), F.lit(True).alias("ahead")))).otherwise(F.array(mine))
     return (
-        rows.select(F.explode("to").alias("to"), "doc_id", "text")
-        .select("to.bucket", "to.ahead", "doc_id", "text")
+        dealt.select(F.explode(to).alias("to"), "doc_id", "tie", "text")
+        .select("to.bucket", "to.ahead", "doc_id", "tie", "text")
         .repartition("bucket")
-        .sortWithinPartitions("bucket", "ahead", F.col("doc_id").desc_nulls_last(), "text")
+        .sortWithinPartitions("bucket", "ahead", F.col("doc_id").desc_nulls_last(), "tie", "text")
+        .drop("tie")
     )
 
 
 def fingerprints(docs: DataFrame, samples: int = SAMPLES, seed: int = 7) -> DataFrame:
     """For each document its fingerprint, that of its edited text, and both likenesses (see SCHEMA)."""
-    wanted = min(MAX_BUCKETS, 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    wanted = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return in_order(docs, wanted).mapInArrow(compare(samples, seed), SCHEMA)
 
 
