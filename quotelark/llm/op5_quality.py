@@ -1,15 +1,16 @@
 """Quality classification by nearest-neighbour voting on latent-semantic vectors.
 
-A text's terms are its byte pairs (case and signs kept: junk differs from prose in these), hashed to TERMS bins, plus bins for
-the share of repeated words. Log counts are weighted by inverse document frequency over all documents and projected on the
-leading singular vectors of a bounded sample of labelled documents. The sample's vectors are broadcast; a block of documents
-is compared with all of them by one exact matrix product, and the K nearest vote with their similarity, each class weighted so
-that both count alike.
+A text's terms are its words, hashed to WORD_BINS, its pairs of bytes (case and signs kept), hashed to PAIR_BINS, and three more: a
+word met for the first time in the text, a word met again, and a word that follows itself. Log counts are weighted by inverse document frequency over all
+documents and projected on the leading singular vectors of a bounded sample of labelled documents. The sample's vectors are
+broadcast; a block of documents is compared with all of them by one exact matrix product, and the K nearest vote with their
+similarity, each class weighted so that both count alike.
 
 Nulls, ties and odd input: a null text is empty, and a text without terms has no direction: its score is the mean vote; null
-labels teach nothing; a document labelled twice has the higher label; neighbours of equal similarity go by their order in the
-sample; without labels every score is 1 (nothing speaks against a text); an empty table gives an empty result. Only doc_id and
-text of the documents are read; decide() keeps all their columns.
+labels teach nothing; a document labelled twice has the higher label; repeated rows get equal scores; neighbours of equal
+similarity go by their order in the sample; without labels every score is 1 (nothing speaks against a text); a very long text is
+read whole, in a block of its own; an empty table gives an empty result. Only doc_id and text of the documents are read, so other
+names can't clash; decide() keeps all their columns.
 """
 
 from __future__ import annotations
@@ -19,18 +20,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelark.llm.common import blocks, held, table, word_hashes, word_lists
+from quotelark.llm.common import blocks, held, mixed, table, word_hashes, word_lists
 from quotelark.llm.op3_toxicity import sample
 
 #: Labelled documents of each class that are broadcast, at most (with RANK floats each, under 2 MB).
 GOOD_DOCS, BAD_DOCS = 3000, 2000
-TERMS, RANK, K, SHARPNESS = 2048, 64, 25, 4.0
-REPEAT_BINS = 8
-BINS = TERMS + REPEAT_BINS
-ROWS = 1024
+WORD_BINS, PAIR_BINS, RANK, K, SHARPNESS = 4096, 1024, 64, 25, 4.0
+TERMS = WORD_BINS + PAIR_BINS
+BINS = TERMS + 3
+ROWS = 512
 
 
 @dataclass(frozen=True)
@@ -43,29 +45,31 @@ class Model:
 
 def bins() -> np.ndarray:
     """The bin of each pair of bytes."""
-    return (np.random.Generator(np.random.Philox(5)).permutation(65536) % TERMS).astype(np.int64)
+    return (np.random.Generator(np.random.Philox(5)).permutation(65536) % PAIR_BINS).astype(np.int64)
 
 
 def counts(texts: pa.Array, table_: np.ndarray) -> np.ndarray:
-    """(texts, BINS) term counts."""
-    strings = [(t or "").encode("utf-8", "surrogatepass") for t in texts.to_pylist()]
-    n = np.array([len(s) for s in strings])
-    data = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64)
-    owner = np.repeat(np.arange(len(strings)), n)
-    out = np.zeros((len(strings), BINS), np.float32)
+    """(texts, BINS) term counts: words, pairs of bytes, words met first, words met again, words that follow themselves."""
+    flat = pc.fill_null(texts, "")
+    ends = np.frombuffer(flat.buffers()[1], np.int64 if pa.types.is_large_string(flat.type) else np.int32)[flat.offset : flat.offset + len(flat) + 1]
+    raw = flat.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[ends[0] : ends[-1]] if raw is not None and raw.size else np.zeros(0, np.uint8)
+    n, rows = np.diff(ends), len(flat)
+    out = np.zeros((rows, BINS), np.float32)
     if len(data) > 1:
+        owner = np.repeat(np.arange(rows, dtype=np.int32), n)
         inside = owner[:-1] == owner[1:]
-        key = owner[:-1][inside] * TERMS + table_[(data[:-1] * 256 + data[1:])[inside]]
-        out[:, :TERMS] = np.bincount(key, minlength=len(strings) * TERMS).reshape(-1, TERMS)
+        pair = table_[data[:-1].astype(np.int32) * 256 + data[1:]]
+        out[:, WORD_BINS:TERMS] = np.bincount((owner[:-1].astype(np.int64) * PAIR_BINS + pair)[inside], minlength=rows * PAIR_BINS).reshape(rows, -1)
     words, ends = word_lists(texts)
-    own = np.repeat(np.arange(len(strings), dtype=np.uint64), np.diff(ends))
-    different = np.unique(word_hashes(words) ^ (own << np.uint64(40)), return_index=True)[1]
-    total = np.diff(ends)
-    unique = np.bincount(own[different].astype(np.int64), minlength=len(strings))
-    share = np.where(total > 0, unique / np.maximum(total, 1), 1.0)
-    expected = np.minimum(1.0, 3.0 / np.sqrt(np.maximum(total, 1)) + 0.25)  # longer prose repeats more of its words
-    level = np.clip((share / expected * (REPEAT_BINS / 2)).astype(int), 0, REPEAT_BINS - 1)
-    out[np.arange(len(strings)), TERMS + level] = np.maximum(1, n / 8)
+    hashes, total = word_hashes(words), np.diff(ends)
+    own = np.repeat(np.arange(rows), total)
+    out[:, :WORD_BINS] = np.bincount(own * WORD_BINS + (hashes % np.uint64(WORD_BINS)).astype(np.int64), minlength=rows * WORD_BINS).reshape(rows, -1)
+    first = np.unique(mixed(hashes + own.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]
+    out[:, TERMS] = np.bincount(own[first], minlength=rows)
+    out[:, TERMS + 1] = total - out[:, TERMS]
+    if len(words) > 1:
+        out[:, TERMS + 2] = np.bincount(own[1:][(hashes[1:] == hashes[:-1]) & (own[1:] == own[:-1])], minlength=rows)
     return out
 
 
@@ -79,6 +83,15 @@ def unit(x: np.ndarray) -> np.ndarray:
     return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
+def leading(x: np.ndarray, rank: int, rounds: int = 6) -> np.ndarray:
+    """(columns of x, rank): the leading right singular vectors of x, by subspace iteration from a seeded start."""
+    base = np.random.Generator(np.random.Philox(6)).standard_normal((x.shape[1], rank + 16)).astype(np.float32)
+    for _ in range(rounds):
+        base = np.linalg.qr(x.T @ (x @ base))[0]
+    _, _, turned = np.linalg.svd(x @ base, full_matrices=False)
+    return (base @ turned.T[:, :rank]).astype(np.float32)
+
+
 def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in blocks(batches):
         for at in range(0, block.num_rows, ROWS):
@@ -117,8 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, sizes: dict[int, int] | None = None)
         return None
     weights = idf(docs)
     x = weighted(np.stack([np.frombuffer(r["counts"], np.float32) for r in found]), weights)
-    values, vectors = np.linalg.eigh(x.T @ x)
-    basis = vectors[:, np.argsort(values)[::-1][:RANK]].astype(np.float32)
+    basis = leading(x, RANK)
     return Model(weights, basis, unit(x @ basis), np.array([r["label"] for r in found], np.float32))
 
 

@@ -10,6 +10,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ from quotelark.llm import queries
 from quotelark.llm.common import plain_word, table
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+#: A table with enough held-out labels to rank.
+HELD_DIR = os.environ.get("TEST_HELD_DIR", "/root/testdata/sf0.01")
 
 
 @pytest.fixture(scope="module")
@@ -138,11 +141,43 @@ def test_op2_windows_are_the_cartesian_tree():
 
 
 def test_op3_and_op5_rank_held_out_labels(spark):
-    labels = table(spark, DIR, "labels")
+    labels = table(spark, HELD_DIR, "labels")
     for module, column in ((op3, "toxic"), (op5, "quality")):
-        got = module.query(spark, DIR).join(labels, "doc_id").collect()
+        got = module.query(spark, HELD_DIR).join(labels, "doc_id").where("held_out").collect()
         good, bad = [r.score for r in got if r[column] == 1], [r.score for r in got if r[column] == 0]
-        assert np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad]) > 0.7
+        assert np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad]) > 0.8
+
+
+def test_op3_measures_compressed_lengths():
+    model = op3.Model(b"  vile  horrid  ", b"  calm  plain   ")
+    text = "a calm and plain text " * 30 + "with a vile horrid word"
+    gains = []
+    for w in op3.windows(text):
+        toxic, neutral = (op3.compressor(d).compress(w) for d in (model.toxic, b"0123456789" * 2))
+        gains.append(len(neutral) - len(toxic))
+    got = dict(zip(op3.FEATURES, op3.Meter(model).features(text)))
+    assert got["gain_max"] == max(gains) > 0 and got["gain_mean"] == pytest.approx(sum(gains) / len(gains)) and b"".join(op3.windows(text)).count(b"vile") == 1
+
+
+def test_op5_votes_against_a_full_matrix():
+    rng = np.random.default_rng(5)
+    labels = (np.arange(60) % 3 == 0).astype(np.float32)
+    model = op5.Model(rng.random(op5.BINS).astype(np.float32), op5.unit(rng.standard_normal((op5.BINS, 8))), op5.unit(rng.standard_normal((60, 8))), labels)
+    counts = rng.poisson(0.1, (9, op5.BINS)).astype(np.float32)
+    for got, row in zip(op5.votes(counts, model), counts):
+        v = (np.log1p(row) * model.idf) @ model.basis
+        cosine = [float(v @ u) / np.linalg.norm(v) for u in model.vectors]
+        near = sorted(range(60), key=lambda k: -cosine[k])[: op5.K]
+        weight = {k: max(cosine[k], 1e-3) ** op5.SHARPNESS * (0.5 / 20 if labels[k] else 0.5 / 40) for k in near}
+        assert got == pytest.approx(sum(w for k, w in weight.items() if labels[k]) / sum(weight.values()), rel=1e-3)
+
+
+def test_op5_terms_and_vectors():
+    got = op5.counts(pa.array(["a b b a", None, "B"]), op5.bins())
+    assert got[:, op5.TERMS :].tolist() == [[2, 2, 1], [0, 0, 0], [1, 0, 0]] and got[:, : op5.WORD_BINS].sum(1).tolist() == [4, 0, 1] and got[:, op5.WORD_BINS : op5.TERMS].sum(1).tolist() == [6, 0, 0]
+    x = np.random.default_rng(6).standard_normal((40, 30)).astype(np.float32) * np.linspace(3, 0.1, 30, dtype=np.float32)
+    basis, (_, _, exact) = op5.leading(x, 4, 40), np.linalg.svd(x)
+    assert np.abs(np.abs(np.sum(basis.T * exact[:4], 1)) - 1).max() < 1e-2
 
 
 def test_op4_counts(spark, docs):
