@@ -199,17 +199,73 @@ def test_op4_counts(spark, docs):
 
 def test_op4_exchange_raises_likelihood():
     rng = np.random.default_rng(1)
-    kind = rng.integers(0, 2, 40)
-    b = np.zeros((op4.ITEMS, op4.ITEMS))
-    b[:40, :40] = rng.poisson(3, (40, 40)) * (kind[:40, None] != kind[None, :40])
+    kind, n = rng.integers(0, 2, 40), 60
+    b = np.zeros((n, n))
+    b[:40, :40] = rng.poisson(3, (40, 40)) * (kind[:, None] != kind[None, :])
 
     def value(member):
         n = np.eye(5)[member].T @ b @ np.eye(5)[member]
         return op4.xlogx(n).sum() - op4.xlogx(n.sum(0)).sum() - op4.xlogx(n.sum(1)).sum()
 
     start, end = op4.exchange(b, classes=5, sweeps=0), op4.exchange(b, classes=5, sweeps=20)
-    best = np.where(np.arange(op4.ITEMS) < 40, np.r_[kind, np.zeros(op4.ITEMS - 40, int)], 0)
+    best = np.where(np.arange(n) < 40, np.r_[kind, np.zeros(n - 40, int)], 0)
     assert value(end) > value(start) and value(end) >= 0.9 * (value(best) - value(start)) + value(start)
+    for w in range(40):  # no single move gains
+        for c in range(4):
+            moved = end.copy()
+            moved[w] = c
+            assert value(moved) <= value(end) + 1e-6
+
+
+def test_op4_score(spark, monkeypatch):
+    """The whole model against plain Python, with more words than the core and than the broadcast table hold."""
+    monkeypatch.setattr(op4, "TOP", 8)
+    monkeypatch.setattr(op4, "FREQUENT", 30)
+    rng = random.Random(13)
+    vocab = [f"w{k}{'abcd'[k % 4]}{'xy'[k % 2]}" for k in range(60)] + ["L" * 90]
+    texts = [" ".join(rng.choices(vocab, [1 / (k + 1) for k in range(61)], k=rng.randrange(40))) for _ in range(80)]
+    given = spark.createDataFrame([(k, k % 5 == 1, t) for k, t in enumerate(texts)], "doc_id long, held_out boolean, text string")
+    model, counts = op4.fit(given.where("not held_out"))
+    name = lambda w: w.lower() if len(w) <= op4.LONGEST else f"{op4.xxhash.xxh3_128_hexdigest(w.lower())} {w.lower()[-2:]}"
+    split = [[name(w) for w in t.split()] for t in texts]
+    seen = collections.Counter(w for k, t in enumerate(split) if k % 5 != 1 for w in t)
+    v = model.vocab
+    assert len(v.words) <= 30 and all(seen[a] >= seen[b] for a, b in zip(v.words, v.words[1:])) and min(seen[w] for w in v.words) >= max(c for w, c in seen.items() if w not in v.words) * 0.9
+    item = lambda w: v.words.index(w) if w in v.words else len(v.words) + (v.shapes.index(w[-2:]) if w[-2:] in v.shapes else len(v.shapes))
+    rare = collections.Counter()
+    for w, c in seen.items():
+        if w not in v.words:
+            rare[item(w)] += c
+            rare[item(w), "types"] += 1
+    end = len(model.member) - 1
+    n = np.zeros((op4.CLASSES, op4.CLASSES))
+    for k, t in enumerate(split):
+        if k % 5 != 1:
+            for a, b in zip([end, *map(item, t)], [*map(item, t), end]):
+                n[model.member[a], model.member[b]] += 1
+    total = np.array([*(seen[w] for w in v.words), *(rare[k] for k in range(len(v.words), end)), 64.0])
+    for r in op4.scored(given, model, counts).collect():
+        want, before = 0.0, end
+        for w in [*split[r.doc_id], None]:
+            i = end if w is None else item(w)
+            c, mates = model.member[i], np.flatnonzero(model.member == model.member[i])
+            want += math.log10((n[model.member[before], c] + op4.ALPHA) / (n[model.member[before]].sum() + op4.ALPHA * op4.CLASSES))
+            want += math.log10((total[i] + op4.BETA) / (total[mates].sum() + op4.BETA * len(mates)))
+            if w is not None and w not in v.words:
+                want += math.log10((seen[w] + 0.5) / (rare[i] + 0.5 * (rare[i, "types"] + 1)))
+            before = i
+        assert r.score == pytest.approx(want)
+
+
+def test_op4_words_go_where_their_neighbours_are_likeliest():
+    rng = np.random.default_rng(3)
+    b = rng.poisson(5, (op4.CLASSES, op4.CLASSES)).astype(float)
+    sides = [(int(k), int(rng.integers(1, 5))) for k in rng.choice(2 * op4.CLASSES, 12, replace=False)]
+    value = []
+    for c in range(op4.CLASSES - 1):
+        value.append(sum(n * math.log((b[s, c] + op4.ALPHA) / (b[:, c].sum() + op4.ALPHA * op4.CLASSES)) if s < op4.CLASSES else n * math.log((b[c, s - op4.CLASSES] + op4.ALPHA) / (b[c].sum() + op4.ALPHA * op4.CLASSES)) for s, n in sides))
+    batch = pa.RecordBatch.from_pylist([{"word": 9, "sides": [{"side": s, "n": n} for s, n in sides]}])
+    assert next(op4.likeliest_class(b)(iter([batch]))).column("class").to_pylist() == [int(np.argmax(value))]
 
 
 def test_op6_classes(spark, docs):
