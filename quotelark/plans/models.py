@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from quotelark.operators import models as M
 from quotelark.plans.registry import query, rounded
+from quotelark.scratch import new_path
 from quotelark.sinks.ledger import read
 from quotelark.streaming import ledgers as S
 
@@ -63,7 +63,7 @@ def ratings(t):
 @query("q2_stream_append_unique", "", "select user_id, event_type, date_trunc('day', ts) as day, arg_min(event_id, event_id) as event_id from events group by all")
 def stream_append(t):
     """A stream of files into a ledger that keeps the first row of each key, whatever the batches."""
-    where = f"{_scratch(t.spark)}/ledger-{uuid.uuid4().hex}"
+    where = new_path(t.spark)
     events = t.read("events")
     keyed = S.read_files(t.spark, f"{t.dir}/events.parquet*", events.schema).select("user_id", "event_type", F.date_trunc("day", "ts").cast("timestamp").alias("day"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
     S.append_to_ledger(keyed, f"{where}/rows", ["user_id", "event_type", "day"], ["event_id"], f"{where}/state", "ts", "40 days").awaitTermination()
@@ -72,19 +72,10 @@ def stream_append(t):
 
 @query("q8_stream_daily_counts", "", "select user_id, date_trunc('day', ts) as begin, count(*) as n from events group by all")
 def stream_counts(t):
-    where, name = f"{_scratch(t.spark)}/counts-{uuid.uuid4().hex}", f"counts_{uuid.uuid4().hex}"
+    where, name = new_path(t.spark), f"counts_{uuid.uuid4().hex}"
     events = t.read("events")
     rows = S.read_files(t.spark, f"{t.dir}/events.parquet*", events.schema).withColumn("ts", F.col("ts").cast("timestamp"))
     counts = S.counters(rows, "ts", "user_id")
     out = counts.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{where}/{name}")).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
     out.awaitTermination()
     return read(t.spark, f"{where}/{name}", counts.schema)
-
-
-def _scratch(spark) -> str:
-    """The folder that all executors share; a temporary one only where none is named."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="quotelark-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")

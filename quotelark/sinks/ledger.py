@@ -67,6 +67,14 @@ def contract(ranked: DataFrame, path: str, columns: Sequence[str], qualified: st
     ranked.where(qualified).select(*columns).write.mode("overwrite").csv(os.path.join(path, "qualified"), header=True)
 
 
+def result_set(bets: DataFrame, path: str, run: str, day: str, profit: str, p: str, won: str) -> None:
+    """The tables of backtest runs, each partitioned by run: bets, profit by day, and calibration by tenths of p."""
+    daily = bets.groupBy(run, day).agg(F.sum(profit).alias(profit))
+    bands = bets.groupBy(run, F.floor(F.col(p) * 10).alias("band")).agg(F.avg(p).alias("mean_p"), F.sum(won).alias("won"), F.count(F.lit(1)).alias("n"))
+    for name, table in (("bets", bets), ("bankroll", daily), ("calibration", bands)):
+        table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(run).parquet(os.path.join(path, name))
+
+
 def superseding(settled: DataFrame, ledger: DataFrame, key: str, evidence: Sequence[str]) -> DataFrame:
     """Rows to append: the same evidence adds none; changed evidence adds one that names the row it supersedes."""
     id_ = F.substring(F.sha2(F.concat_ws("|", F.col(key).cast("string"), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in evidence]), 256), 1, 16)

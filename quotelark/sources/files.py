@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 LONG_ODDS = "market_id string, event string, selection string, bookmaker string, decimal_odds double"
@@ -89,9 +90,9 @@ def price_points(index: DataFrame) -> DataFrame:
     return index.select("market_id", F.explode("prices").alias("p")).select("market_id", "p.runner", "p.ltp", F.timestamp_millis("p.pt").alias("ts"))
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Name, size and SHA-256 of raw files."""
-    return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+def manifest(spark: SparkSession, path: str, name: str = "([^/]+)$") -> DataFrame:
+    """Name (a part of the path), size and SHA-256 of raw files."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.regexp_extract("path", name, 1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
 def manifest_check(found: DataFrame, frozen: DataFrame) -> DataFrame:
@@ -107,3 +108,62 @@ def wide_to_long(rows: DataFrame, keys: Sequence[str], books: Mapping[str, Seque
     status = F.when(F.forall("s.q", lambda x: F.coalesce(x > 1, F.lit(False))), "OK").otherwise("REJECTED")
     labelled = sets.select(*keys, "s.book", status.alias("status"), F.arrays_zip(F.array(*map(F.lit, outcomes)).alias("outcome"), F.col("s.q").alias("odds")).alias("z"))
     return labelled.select(*keys, "book", "status", F.explode("z").alias("x")).select(*keys, "book", "status", "x.outcome", "x.odds")
+
+
+def feed_statuses(spark: SparkSession, path: str, outcomes: Sequence[str] = ("home", "draw", "away"), market: str = "h2h") -> DataFrame:
+    """Every price of the nested feed with a status: OK, or why it is skipped (UNKNOWN_NAME, SECOND_QUOTE, INCOMPLETE)."""
+    events = spark.read.schema(ODDS_FEED).json(path)
+    books = events.select("id", "home_team", "away_team", F.posexplode("bookmakers").alias("at", "b")).select("id", "home_team", "away_team", "at", F.col("b.key").alias("book"), F.explode("b.markets").alias("m"))
+    rows = books.where(F.col("m.key") == market).select("*", F.posexplode("m.outcomes").alias("k", "o"))
+    outcome = F.when(F.col("o.name") == F.col("home_team"), "home").when(F.col("o.name") == F.col("away_team"), "away").when(F.lower("o.name") == "draw", "draw")
+    named = rows.select(F.col("id").alias("market"), "book", outcome.alias("outcome"), F.col("o.price").alias("odds"), "at", "k")
+    nth = F.row_number().over(W.partitionBy("market", "book", "outcome").orderBy("at", "k"))
+    seen = F.size(F.collect_set("outcome").over(W.partitionBy("market", "book")))
+    status = F.when(F.col("outcome").isNull(), "UNKNOWN_NAME").when(F.col("nth") > 1, "SECOND_QUOTE").when(F.col("seen") < len(outcomes), "INCOMPLETE").otherwise("OK")
+    return named.withColumn("nth", nth).withColumn("seen", seen).select("market", "book", "outcome", "odds", status.alias("status"))
+
+
+def history_scan(spark: SparkSession, path: str, schema: str, divisions: Sequence[str], goals: tuple[str, str] = ("FTHG", "FTAG"), day: str = "Date") -> DataFrame:
+    """Files of <division>/<season>: both come from the path, dates in either format, other divisions are left out."""
+    raw = spark.read.schema(schema).option("recursiveFileLookup", True).csv(path, header=True).withColumn("_p", F.col("_metadata.file_path"))
+    part = lambda k: F.regexp_extract("_p", rf"{k}=([^/]+)/", 1)
+    rows = raw.withColumn("division", part("division")).withColumn("season", part("season").cast("int")).drop("_p")
+    return rows.where(F.col("division").isin(*divisions) & F.col(goals[0]).isNotNull() & F.col(goals[1]).isNotNull()).withColumn("day", match_day(F.col(day)))
+
+
+def ledger_shards(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All monthly shards <month>/ of a ledger; blanks are null."""
+    return spark.read.schema(schema).option("recursiveFileLookup", True).option("nullValue", "").csv(path, header=True)
+
+
+def player_rows(lineups: DataFrame, events: DataFrame, key: Sequence[str], tags: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Players of each match with counts of their tagged events: unused substitutes (no minutes) are dropped, missing counts are 0."""
+    counts = events.groupBy(*key).agg(*[F.count(F.when(F.arrays_overlap("tags", F.array(*map(F.lit, names))), 1)).alias(c) for c, names in tags.items()])
+    return lineups.where("minutes > 0").join(counts, list(key), "left").fillna(0, list(tags))
+
+
+def primary_and_archive(primary: DataFrame, archive: DataFrame, names: DataFrame, cutoff: str) -> DataFrame:
+    """Games of two sources: the archive only before the cutoff, names by season, ties and unmapped teams dropped, the primary's row first.
+
+    names (raw, first_season, last_season, team) is a small dimension.
+    """
+    both = primary.withColumn("rank", F.lit(0)).unionByName(archive.where(F.col("day") < F.lit(cutoff).cast("date")).withColumn("rank", F.lit(1))).where("home_score <> away_score")
+    for side in ("home", "away"):
+        of = names.select(F.col("raw").alias("_raw"), "first_season", "last_season", F.col("team").alias(f"{side}_team"))
+        both = both.join(F.broadcast(of), (F.col(side) == F.col("_raw")) & F.col("season").between(F.col("first_season"), F.col("last_season"))).drop("_raw", "first_season", "last_season")
+    best = both.groupBy("day", "home_team", "away_team").agg(F.min(F.struct("rank", "home_score", "away_score")).alias("x"))
+    return best.select("day", "home_team", "away_team", "x.home_score", "x.away_score", F.when(F.col("x.rank") == 0, "PRIMARY").otherwise("ARCHIVE").alias("source"))
+
+
+def two_way(rows: DataFrame, keys: Sequence[str], books: Mapping[str, tuple[str, str]], summaries: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """Two-way columns to (keys, book, side, odds): a book needs both sides above 1, each side of a summary stands for itself."""
+    valid = lambda c: F.when(F.col(c) > 1, F.col(c))
+    whole = [F.when(valid(a).isNotNull() & valid(b).isNotNull(), F.array(F.struct(F.lit(n).alias("book"), F.lit("a").alias("side"), F.col(a).alias("odds")), F.struct(F.lit(n).alias("book"), F.lit("b").alias("side"), F.col(b).alias("odds")))) for n, (a, b) in books.items()]
+    alone = [F.array(F.when(valid(c).isNotNull(), F.struct(F.lit(n).alias("book"), F.lit(s).alias("side"), F.col(c).alias("odds")))) for n, pair in summaries.items() for s, c in zip("ab", pair)]
+    return rows.select(*keys, F.explode(F.array_compact(F.flatten(F.array_compact(F.array(*whole, *alone))))).alias("x")).select(*keys, "x.book", "x.side", "x.odds")
+
+
+def series(rows: DataFrame, keys: Sequence[str], price: str, at: str) -> DataFrame:
+    """Parallel arrays to price points, without null prices or times, in time order (`nth`)."""
+    points = rows.select(*keys, F.explode(F.arrays_zip(F.col(price).alias("price"), F.col(at).alias("at"))).alias("x")).select(*keys, "x.price", "x.at").where("price is not null and at is not null")
+    return points.withColumn("nth", F.row_number().over(W.partitionBy(*keys).orderBy("at", "price")))
