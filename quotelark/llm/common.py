@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelark.scratch import cut  # noqa: F401  the operators take it from here
+from quotelark.scratch import cut, discard  # noqa: F401  the operators take it from here
 
 #: Characters of text that one block of rows may hold inside a task (a longer single text is a block of its own).
 BLOCK_CHARS = 2_000_000
