@@ -76,3 +76,15 @@ def sorted_json(entries: Column) -> Column:
 
 def market_family(name: Column) -> Column:
     return F.when(name.rlike("(?i)(match.?odds|1x2|moneyline)"), "RESULT").when(name.rlike("(?i)(over|under|total)"), "TOTALS").when(name.rlike("(?i)handicap"), "HANDICAP").otherwise("OTHER")
+
+
+def book_width(text: Column) -> Column:
+    """The largest 1/back - 1/lay of the runners in a text of `back/lay` prices; null without any."""
+    price = r"(\d+(?:\.\d+)?)/(\d+(?:\.\d+)?)"
+    of = lambda k: F.transform(F.regexp_extract_all(text, F.lit(price), F.lit(k)), lambda x: 1 / x.try_cast("double"))
+    return F.array_max(F.zip_with(of(1), of(2), lambda back, lay: back - lay))
+
+
+def nullable_int(text: Column) -> Column:
+    """A whole number that isn't negative; blank, invalid or negative text is null."""
+    return number(F.trim(text), "int")

@@ -37,6 +37,29 @@ def grade(p: Column, ev: Column, label: Column, books: Column) -> Column:
     )
 
 
+def ladder(why: Column, ev: Column, rungs: Mapping[str, Column], reject_below: float, c_below: float) -> Column:
+    """Any hard reason rejects, then too little EV; C below its own bound, then the rungs from the top, and C for the rest."""
+    out = F.when((F.size(why) > 0) | ev.isNull() | (ev < reject_below), "Reject").when(ev < c_below, "C")
+    for name, rule in rungs.items():
+        out = out.when(rule, name)
+    return out.otherwise("C")
+
+
+def evidence_grade(p: Column, sigma: Column, odds: Column, state: Column, least_state: int) -> Column:
+    """A+ if EV is positive at p - 1.645 sigma and there is enough evidence, A at p - sigma, B at p, else NONE."""
+    return F.when(p * odds <= 1, "NONE").when(((p - 1.645 * sigma) * odds > 1) & (state >= least_state), "A+").when((p - sigma) * odds > 1, "A").otherwise("B")
+
+
+def data_quality(books: Column, age_minutes: Column, many: int = 4, some: int = 2, fresh: float = 720.0, old: float = 1380.0) -> tuple[Column, Column]:
+    """(label, reasons it isn't the best) by number of books and age of the quotes."""
+    label = F.when((books >= many) & (age_minutes <= fresh), "GOOD").when((books >= some) & (age_minutes <= old), "FAIR").otherwise("POOR")
+    return label, reasons({"FEW_BOOKS": books < many, "OLD_QUOTE": age_minutes > fresh})
+
+
+def liquidity(stake: Column, available: Column) -> Column:
+    return F.when(available.isNull(), "UNKNOWN").when(available >= stake, "LIQUID").otherwise("THIN")
+
+
 def payout_floor(graded: Column, odds: Column, least: float) -> Column:
     return F.when(graded.isin("A+", "A", "B") & (odds < least), "C").otherwise(graded)
 
@@ -46,8 +69,12 @@ def qualify(why: Column, horizon_code: str, paper: Column) -> Column:
     return F.when(F.size(why) == 0, F.when(paper, "PAPER_ONLY").otherwise("BET")).when((F.size(why) == 1) & F.array_contains(why, horizon_code), "WATCH").otherwise("REJECT")
 
 
-def decide(why: Column, hard: Sequence[str]) -> Column:
-    return F.when(F.arrays_overlap(why, F.array(*map(F.lit, hard))), "REJECT").when(F.size(why) > 0, "WATCH").otherwise("PICK")
+def decide(why: Column, hard: Sequence[str], multi: str | None = None) -> Column:
+    """A hard reason rejects; `multi` alone makes a leg of a multi; any other reason is watched."""
+    out = F.when(F.arrays_overlap(why, F.array(*map(F.lit, hard))), "REJECT")
+    if multi:
+        out = out.when((F.size(why) == 1) & F.array_contains(why, multi), "MULTI")
+    return out.when(F.size(why) > 0, "WATCH").otherwise("PICK")
 
 
 def best_of_latest(rows: DataFrame, key: str, ts: str, value: str, tie: str) -> DataFrame:
