@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quotelark.plans import bets, board, history, models, more, quotes, scans, studies, temporal  # noqa: F401
+from quotelark.plans import bets, board, casework, history, models, more, quotes, scans, streams, studies, temporal  # noqa: F401
 from quotelark.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 FLAGSHIP = "flagship_daily_scan"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -43,7 +45,14 @@ def blend_grid(rows: DataFrame, first: str, second: str, steps: int) -> DataFram
 
 
 def _features(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(columns), outputCol="raw", handleInvalid="skip").transform(rows)
+    """Rows with all features; those without are scored null by scored_all()."""
+    whole = rows.where(" and ".join(f"`{c}` is not null" for c in columns))
+    return VectorAssembler(inputCols=list(columns), outputCol="raw").transform(whole)
+
+
+def scored_all(scored: DataFrame, rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The scored rows, and the rows that lack a feature with a null score: none is dropped."""
+    return scored.unionByName(rows.where(" or ".join(f"`{c}` is null" for c in columns)), allowMissingColumns=True)
 
 
 def logistic(train: DataFrame, test: DataFrame, columns: Sequence[str], label: str, ridge: float = 0.01, family: str = "binomial") -> DataFrame:
@@ -51,13 +60,52 @@ def logistic(train: DataFrame, test: DataFrame, columns: Sequence[str], label: s
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(_features(train, columns))
     model = LogisticRegression(labelCol=label, regParam=ridge, elasticNetParam=0.0, family=family, standardization=False).fit(scaler.transform(_features(train, columns)))
     scored = model.transform(scaler.transform(_features(test, columns)))
-    return scored.withColumn("chances", vector_to_array("probability")).drop("raw", "features", "rawPrediction", "probability", "prediction")
+    chances = scored.withColumn("chances", vector_to_array("probability")).drop("raw", "features", "rawPrediction", "probability", "prediction")
+    return scored_all(chances, test, columns)
 
 
 def poisson_rates(train: DataFrame, test: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
     """test with `rate`, by a Poisson regression with log link."""
     model = GeneralizedLinearRegression(family="poisson", link="log", labelCol=label, featuresCol="raw", predictionCol="rate").fit(_features(train, columns))
-    return model.transform(_features(test, columns)).drop("raw")
+    return scored_all(model.transform(_features(test, columns)).drop("raw"), test, columns)
+
+
+def dispersion(rates: DataFrame, label: str, by: str) -> DataFrame:
+    """(by, alpha): the negative binomial dispersion by moments, sum((y - m)^2 - m) / sum(m^2), at least 0."""
+    m, y = F.col("rate"), F.col(label)
+    return rates.groupBy(by).agg(F.greatest(F.lit(0.0), F.sum((y - m) * (y - m) - m) / F.sum(m * m)).alias("alpha"))
+
+
+def walk_forward(rows: DataFrame, season: str) -> DataFrame:
+    """rows of each evaluated season with `model_p`: the two-parameter recalibration of p fitted on all earlier seasons.
+
+    All folds are fitted at once: training rows are counted by season and p, and a fold adds the counts of its seasons.
+    """
+    seasons = [r[0] for r in rows.select(season).distinct().orderBy(season).collect()]  # a row a season
+    folds = rows.sparkSession.createDataFrame([(a, b) for b in seasons for a in seasons if a < b], f"`{season}` int, fold int")
+    fitted = calibration_slope(rows.join(F.broadcast(folds), season), "fold")
+    x = F.col("intercept") + F.col("slope") * logit(F.col("p"))
+    return rows.join(F.broadcast(fitted), F.col(season) == F.col("fold")).withColumn("model_p", sigmoid(x)).drop("fold", "intercept", "slope")
+
+
+def implied_rates(markets: DataFrame, keys: Sequence[str], steps: int, step: float, line: float = 2.5, most: int = 10) -> DataFrame:
+    """(keys, lambda_home, lambda_away, error): the grid's rates whose Poisson chances are nearest to p_home, p_away and p_over.
+
+    The grid is a constant of the plan, so each market looks through it where it lies; no row is repeated.
+    """
+    pmf = lambda m: [math.exp(-m) * m**k / math.factorial(k) for k in range(most + 1)]
+    cells = []
+    for i in range(1, steps + 1):
+        for j in range(1, steps + 1):
+            a, b = pmf(i * step), pmf(j * step)
+            joint = [(x, y, a[x] * b[y]) for x in range(most + 1) for y in range(most + 1)]
+            cells.append((i * step, j * step, sum(p for x, y, p in joint if x > y), sum(p for x, y, p in joint if x < y), sum(p for x, y, p in joint if x + y > line)))
+    names = ("home", "away", "p_h", "p_a", "p_o")
+    grid = F.from_json(F.lit(json.dumps([dict(zip(names, c)) for c in cells])), "array<struct<home:double,away:double,p_h:double,p_a:double,p_o:double>>")
+    square = lambda x: x * x
+    error = lambda g: square(g["p_h"] - F.col("p_home")) + square(g["p_a"] - F.col("p_away")) + square(g["p_o"] - F.col("p_over"))
+    best = F.array_min(F.transform(grid, lambda g: F.struct(error(g).alias("e"), g["home"].alias("h"), g["away"].alias("a"))))
+    return markets.withColumn("best", best).select(*keys, F.col("best.h").alias("lambda_home"), F.col("best.a").alias("lambda_away"), F.col("best.e").alias("error"))
 
 
 def replay_ratings(matches: DataFrame, pool: str, k: float = 20.0, start: float = 1500.0, home: float = 0.0) -> DataFrame:

@@ -19,10 +19,32 @@ def latest_definitions(messages: DataFrame, key: str, at: str, fields: Sequence[
     return messages.groupBy(key).agg(*[F.max_by(f, at).alias(f) for f in fields])
 
 
-def append_to_ledger(rows: DataFrame, path: str, key: Sequence[str], order: Sequence[str], checkpoint: str, ts: str, late: str = "1 day"):
-    """Appends each key once: duplicates within the watermark are dropped in state, older ones by the ledger itself."""
-    once = rows.withWatermark(ts, late).dropDuplicatesWithinWatermark(list(key))
-    return once.writeStream.foreachBatch(lambda batch, _: append_unique(batch, path, key, order) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def upserts(rows: DataFrame, path: str, checkpoint: str):
+    """Each micro-batch's changed rows into a folder of its own; latest_rows() reads the last one of each key."""
+    return rows.writeStream.outputMode("update").foreachBatch(lambda batch, k: batch.withColumn("batch", F.lit(k)).write.mode("overwrite").parquet(f"{path}/{k:08d}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_rows(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The last row that upserts() wrote for each key."""
+    rows = spark.read.parquet(f"{path}/*")
+    fields = [c for c in rows.columns if c not in (key, "batch")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*fields), "batch").alias("x")).select(key, "x.*")
+
+
+def scan_records(rows: DataFrame, path: str, checkpoint: str, scan: str, ts: str, started: str):
+    """One record for each scan, failures too: the scan is taken if it lies at or after the workflow's start, never an older one."""
+
+    def record(batch: DataFrame, k: int) -> None:
+        one = batch.groupBy("entity", scan).agg(F.max(started).alias(started), F.count(F.lit(1)).alias("rows"), F.max(ts).alias("last"))
+        status = F.when(F.col(started).isNull(), "NO_START").when(F.col(scan) < F.col(started), "OLD").otherwise("USABLE")
+        one.withColumn("status", status).withColumn("batch", F.lit(k)).write.mode("overwrite").parquet(f"{path}/{k:08d}")
+
+    return rows.writeStream.foreachBatch(record).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def append_to_ledger(rows: DataFrame, path: str, key: Sequence[str], order: Sequence[str], checkpoint: str):
+    """Appends each key once. The ledger's anti-join admits keys, however late their rows are; no state is kept, so none is lost."""
+    return rows.writeStream.foreachBatch(lambda batch, _: append_unique(batch, path, key, order) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def quotes_before_start(entries: DataFrame, quotes: DataFrame, key: str, entry_ts: str, start_ts: str, quote_ts: str, late: str = "1 hour", horizon: str = "7 days") -> DataFrame:
