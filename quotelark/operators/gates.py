@@ -93,9 +93,10 @@ def only_reasons(why: Column, allowed: Sequence[str]) -> Column:
     return F.size(F.array_except(why, F.array(*map(F.lit, allowed)))) == 0
 
 
-def masked(rows: DataFrame, guards: DataFrame, key: str, day: str) -> DataFrame:
-    """rows without those in a sealed period (key, begin, end)."""
-    g = F.broadcast(guards.select(F.col(key).alias("_k"), "begin", "end"))
+def masked(rows: DataFrame, guards: DataFrame, key: str, day: str, most: int = 10_000) -> DataFrame:
+    """rows without those in a sealed period (key, begin, end). Up to `most` periods are broadcast; more are joined on their key."""
+    g = guards.select(F.col(key).alias("_k"), "begin", "end")
+    g = F.broadcast(g) if g.limit(most + 1).count() <= most else g
     return rows.join(g, (F.col(key) == F.col("_k")) & F.col(day).between(F.col("begin"), F.col("end")), "left_anti")
 
 

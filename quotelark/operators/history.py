@@ -15,24 +15,46 @@ def prior(by: Sequence[str], order: Sequence[str], rows: int | None = None):
     return W.partitionBy(*by).orderBy(*order).rowsBetween(start, -1)
 
 
+def prior_sums(rows: DataFrame, by: str, day: str, order: Sequence[str], values: dict[str, Column]) -> DataFrame:
+    """rows with sums over all earlier rows of the group (by day, then order), and `prior_n`, their number.
+
+    Few groups may hold all rows, so sums are carried over days (a row a group and day), and only a day's rows are sorted.
+    """
+    valued = rows.select("*", *[v.alias(f"_{k}") for k, v in values.items()])
+    daily = valued.groupBy(by, day).agg(*[F.sum(f"_{k}").alias(f"_d{k}") for k in values], F.count(F.lit(1)).alias("_dn"))
+    w = prior([by], [day])
+    carried = daily.select(F.col(by).alias("_by"), F.col(day).alias("_day"), *[F.sum(f"_d{k}").over(w).alias(f"_c{k}") for k in [*values, "n"]])
+    inside = prior([by, day], order)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    within = valued.select("*", *[F.sum(f"_{k}").over(inside).alias(f"_w{k}") for k in values], F.count(F.lit(1)).over(inside).alias("_wn"))
+    both = within.join(carried, (F.col(by) == F.col("_by")) & (F.col(day) == F.col("_day")))
+    return both.select(*rows.columns, *[(zero(F.col(f"_w{k}")) + zero(F.col(f"_c{k}"))).alias(k) for k in values], (F.col("_wn") + zero(F.col("_cn"))).alias("prior_n"))
+
+
 def rolling_mean(value: str, by: Sequence[str], order: Sequence[str], rows: int, least: int = 1) -> Column:
     """Mean of the last rows; null under `least` values. Nulls count as rows of the frame, not as values."""
     w = prior(by, order, rows)
     return F.when(F.count(value).over(w) >= least, F.avg(value).over(w))
 
 
-def form(history: DataFrame, rows: int) -> DataFrame:
-    """Last-N form of each team: matches seen, goals for and against, conversion and spread of the goal difference."""
-    w = prior(["team"], ["day", "match_id"], rows)
+def form(history: DataFrame, rows: int, context: Sequence[str] = ()) -> DataFrame:
+    """Last-N form of each team, or of each team in a context (its home matches, its away matches): matches seen, goals for and against, spread of the difference."""
+    w = prior(["team", *context], ["day", "match_id"], rows)
     diff = F.col("goals_for") - F.col("goals_against")
     return history.select(
         "team", "match_id", "day",
         F.count(F.lit(1)).over(w).alias("window_matches"), F.avg("goals_for").over(w).alias("form_for"), F.avg("goals_against").over(w).alias("form_against"),
         F.when(F.count(diff).over(w) >= 2, F.stddev_pop(diff).over(w)).alias("form_spread"),
-        (F.row_number().over(W.partitionBy("team").orderBy("day", "match_id"))).alias("appearance"),
+        (F.row_number().over(W.partitionBy("team", *context).orderBy("day", "match_id"))).alias("appearance"), *context,
     )
 
 
+def conversion(history: DataFrame, rows: int, goals: str, shots: str) -> DataFrame:
+    """Mean goals over mean shots of the last rows; nulls are skipped inside them, no shots give null."""
+    w = prior(["team"], ["day", "match_id"], rows)
+    return history.select("team", "match_id", F.try_divide(F.avg(goals).over(w), F.avg(shots).over(w)).alias("conversion"))
+
+
 def earlier_dates(rows: DataFrame, by: str, day: str, value: str, pseudo: float) -> DataFrame:
     """Rate over strictly earlier dates, shrunk to the rate of all groups on earlier dates; rows of one day never see each other.
 
@@ -67,24 +89,22 @@ def rest_days(history: DataFrame, cap: int) -> DataFrame:
 
 
 def laplace_frequencies(rows: DataFrame, by: str, order: Sequence[str], outcome: str, values: Sequence[str], alpha: float) -> DataFrame:
-    """Smoothed outcome frequencies over earlier rows of the group."""
-    w = prior([by], order)
-    n = F.count(F.lit(1)).over(w)
-    cols = [((F.coalesce(F.sum((F.col(outcome) == v).cast("int")).over(w), F.lit(0)) + alpha) / (n + alpha * len(values))).alias(f"f_{v.lower()}") for v in values]
-    return rows.select(by, *order, *cols)
+    """Smoothed outcome frequencies over earlier rows of the group; order begins with the day."""
+    sums = prior_sums(rows, by, order[0], order[1:], {f"_f{v}": (F.col(outcome) == v).cast("int") for v in values})
+    return sums.select(by, *order, *[((F.col(f"_f{v}") + alpha) / (F.col("prior_n") + alpha * len(values))).alias(f"f_{v.lower()}") for v in values])
 
 
 def strengths(matches: DataFrame, pseudo: float) -> DataFrame:
     """Attack and defence ratios to the league before each match, shrunk to 1 with pseudo-matches: running sums, no loop."""
-    league = prior(["league"], ["day", "match_id"])
-    base = F.avg("goals_for").over(league)
+    league = prior_sums(matches, "league", "day", ["match_id"], {"_goals": F.col("goals_for")})
+    base = F.when(F.col("prior_n") > 0, F.col("_goals") / F.col("prior_n"))
+    w = prior(["league", "team"], ["day", "match_id"])
 
-    def ratio(value: str, key: str) -> Column:
-        w = prior(["league", key], ["day", "match_id"])
+    def ratio(value: str) -> Column:
         s, n = F.coalesce(F.sum(value).over(w), F.lit(0.0)), F.count(F.lit(1)).over(w)
         return F.coalesce((s / F.when(base > 0, base) + pseudo) / (n + pseudo), F.lit(1.0))
 
-    return matches.select("league", "team", "match_id", "day", ratio("goals_for", "team").alias("attack"), ratio("goals_against", "team").alias("defence"))
+    return league.select("league", "team", "match_id", "day", ratio("goals_for").alias("attack"), ratio("goals_against").alias("defence"))
 
 
 def head_to_head(matches: DataFrame) -> DataFrame:

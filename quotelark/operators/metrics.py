@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quotelark.scratch import cut
+
 from quotelark.functions.odds import clip
 
 
@@ -30,24 +33,58 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> Column:
 def equal_count_bins(rows: DataFrame, order: Sequence[Column], bins: int, extras: str = "first", by: Sequence[str] = ()) -> DataFrame:
     """rows with `bin`, from 0, of nearly equal counts; the extras go to the first or to the last bins.
 
-    Rows are ranked within `by`; without it over the whole table, by ranges, so that no task holds more than its range.
+    Rows are ranked by ranges, within `by` too, so that no task holds more than its range.
     """
-    keys = list(order) if extras == "first" else [c.desc() for c in order]
-    if by:
-        bin_ = F.ntile(bins).over(W.partitionBy(*by).orderBy(*keys)) - 1
-        return rows.withColumn("bin", bin_ if extras == "first" else bins - 1 - bin_)
-    ranked, n = global_rank(rows, list(order))
-    size, more = n // bins, n % bins
-    r = F.col("rank")
+    ranked = group_rank(rows, by, list(order))
+    n, r = F.col("_n"), F.col("rank")
+    size, more = F.floor(n / bins), n % bins
     if extras == "last":
         r = n - 1 - r
-    bin_ = F.when(r < more * (size + 1), F.floor(r / (size + 1))).otherwise(more + F.floor((r - more * (size + 1)) / max(size, 1))).cast("int")
-    return ranked.withColumn("bin", bin_ if extras == "first" else (bins - 1 - bin_).cast("int")).drop("rank")
+    bin_ = F.when(r < more * (size + 1), F.floor(r / (size + 1))).otherwise(more + F.floor((r - more * (size + 1)) / F.greatest(size, F.lit(1)))).cast("int")
+    return ranked.withColumn("bin", bin_ if extras == "first" else (bins - 1 - bin_).cast("int")).drop("rank", "_n")
+
+
+def group_rank(rows: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """rows with `rank` from 0 within `by` in the given total order, and the group's size `_n`.
+
+    All groups are ranked at once by ranges of (by, order), so a group of any size is spread; a table of a row a group is joined.
+    """
+    ranked, _ = global_rank(rows, [*map(F.col, by), *order])
+    sizes = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("rank").alias("_first"))
+    if not by:
+        return ranked.crossJoin(F.broadcast(sizes)).drop("_first")  # one row
+    same = sizes.select(*[F.col(c).alias(f"_{c}") for c in by], "_n", "_first")
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    return ranked.join(same, reduce(Column.__and__, on)).withColumn("rank", F.col("rank") - F.col("_first")).drop("_first", *[f"_{c}" for c in by])
+
+
+def percentiles(rows: DataFrame, by: Sequence[str], value: str, shares: Sequence[float], buckets: int = 1024) -> DataFrame:
+    """(by, q: array): exact interpolated percentiles of few groups, however large.
+
+    Values are counted first, then placed in buckets of equal width; sums by bucket tell which buckets hold the wanted ranks, and
+    only these are sorted. No task holds a group.
+    """
+    counts = cut(rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
+    span = counts.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))  # a row a group
+    place = F.coalesce(F.least(F.floor(F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * buckets), F.lit(buckets - 1)), F.lit(0))
+    placed = counts.join(span, list(by)).withColumn("_b", place)
+    sums = placed.groupBy(*by, "_b").agg(F.sum("_c").alias("_m"))
+    before = sums.withColumn("_before", F.sum("_m").over(W.partitionBy(*by).orderBy("_b")) - F.col("_m"))  # at most `buckets` rows a group
+    at = lambda q: F.lit(q) * (F.col("_n") - 1)
+    ranks = F.array(*[F.struct(F.lit(k).alias("k"), r.alias("r"), w.alias("w")) for k, q in enumerate(shares) for r, w in ((F.floor(at(q)), 1 - (at(q) - F.floor(at(q)))), (F.floor(at(q)) + 1, at(q) - F.floor(at(q))))])
+    asks = span.select(*by, F.explode(ranks).alias("a")).select(*by, "a.k", "a.r", "a.w").where("w > 0")
+    need = before.join(asks, list(by)).where("_before <= r and r < _before + _m").select(*by, "_b", "_before", "k", "r", "w")
+    some = placed.join(need.select(*by, "_b", "_before").distinct(), [*by, "_b"])
+    run = some.withColumn("_from", F.col("_before") + F.sum("_c").over(W.partitionBy(*by, "_b").orderBy("_v")) - F.col("_c"))
+    hit = run.join(need.drop("_before"), [*by, "_b"]).where("_from <= r and r < _from + _c")
+    one = hit.groupBy(*by, "k").agg(F.sum(F.col("w") * F.col("_v")).alias("x"))
+    return one.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("q"))
 
 
 def global_rank(rows: DataFrame, order: Sequence[Column]) -> tuple[DataFrame, int]:
     """rows with `rank` from 0 in the given total order, and their number: sorted in ranges, offsets from counts by range."""
-    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).persist()
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    sorted_ = cut(sorted_)  # written, so that ranks and offsets are of one evaluation
     counts = sorted((r["_part"], r["count"]) for r in sorted_.groupBy(F.shiftright("_at", 33).alias("_part")).count().collect())  # a row a range
     pairs, total = [], 0
     for part, n in counts:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotelark.functions.odds import logit, sigmoid
+from quotelark.scratch import cut
 
 
 def calibration_slope(rows: DataFrame, by: str, steps: int = 12) -> DataFrame:
@@ -22,7 +23,7 @@ def calibration_slope(rows: DataFrame, by: str, steps: int = 12) -> DataFrame:
 
     Rows are counted by distinct p first; every step is one aggregate of five sums over those counts.
     """
-    values = rows.groupBy(by, "p").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")).withColumn("x", logit(F.col("p"))).persist()
+    values = cut(rows.groupBy(by, "p").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")).withColumn("x", logit(F.col("p"))))
     fitted = values.select(by).distinct().select(by, F.lit(0.0).alias("a"), F.lit(1.0).alias("b"))
     for _ in range(steps):
         q = sigmoid(F.col("a") + F.col("b") * F.col("x"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quotelark.operators.metrics import percentiles
+
 
 def micros(ts: str | Column) -> Column:
     """Microseconds of a timestamp with or without a zone."""
@@ -70,9 +72,10 @@ def link_within(left: DataFrame, right: DataFrame, key: str, left_day: str, righ
 
 
 def coverage(priced: DataFrame, limit_hours: float) -> DataFrame:
-    """Share priced at all, share fresh, and median age, by horizon."""
+    """Share priced at all, share fresh, and median age, by horizon (few horizons, each with all entities)."""
     age = (micros("cutoff") - micros("as_of_ts")) / 3.6e9
     some = F.col("as_of_ts").isNotNull()
-    return priced.withColumn("age", age).groupBy("hours_before").agg(
-        F.count(F.lit(1)).alias("asked"), F.avg(some.cast("int")).alias("raw_share"), F.avg((some & (F.col("age") <= limit_hours)).cast("int")).alias("fresh_share"), F.median("age").alias("median_age")
-    )
+    aged = priced.withColumn("age", age)
+    shares = aged.groupBy("hours_before").agg(F.count(F.lit(1)).alias("asked"), F.avg(some.cast("int")).alias("raw_share"), F.avg((some & (F.col("age") <= limit_hours)).cast("int")).alias("fresh_share"))
+    middle = percentiles(aged, ["hours_before"], "age", [0.5]).select("hours_before", F.col("q")[0].alias("median_age"))
+    return shares.join(middle, "hours_before", "left")

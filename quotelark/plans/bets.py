@@ -97,7 +97,9 @@ def concentration(t):
 @query("a21_return_statistics", "bets", """
 select season, count(*) as bets, round(sum(profit), 6) as profit, round(avg(profit), 6) as mean_profit, round(median(profit), 6) as median_profit, round(sum(profit) / sum(staked), 6) as roi, round(avg(odds * p - 1), 6) as mean_clv from bets group by season""")
 def return_stats(t):
-    return rounded(t.bets().groupBy("season").agg(F.count(F.lit(1)).alias("bets"), F.sum("profit").alias("profit"), F.avg("profit").alias("mean_profit"), F.median("profit").alias("median_profit"), (F.sum("profit") / F.sum("staked")).alias("roi"), F.avg(F.col("odds") * F.col("p") - 1).alias("mean_clv")))
+    middle = M.percentiles(t.bets(), ["season"], "profit", [0.5]).select("season", F.col("q")[0].alias("median_profit"))
+    sums = t.bets().groupBy("season").agg(F.count(F.lit(1)).alias("bets"), F.sum("profit").alias("profit"), F.avg("profit").alias("mean_profit"), (F.sum("profit") / F.sum("staked")).alias("roi"), F.avg(F.col("odds") * F.col("p") - 1).alias("mean_clv"))
+    return rounded(sums.join(middle, "season"))
 
 
 @query("a22_edge_atlas", "bets", """
@@ -105,8 +107,8 @@ def return_stats(t):
 select sport, band, period, count(*) as n, round(avg(profit), 6) as mean_return, round(regr_slope(profit, ev), 5) as slope, round(quantile_cont(ev, 0.25), 6) as ev_q1, round(quantile_cont(ev, 0.75), 6) as ev_q3 from b group by sport, band, period""")
 def atlas(t):
     b = t.bets().withColumn("ev", F.col("p") * F.col("odds") - 1).withColumn("period", F.when(F.col("season") < 1998, "discovery").otherwise("confirmation"))
-    q = F.percentile("ev", F.array(F.lit(0.25), F.lit(0.75)))
-    got = b.groupBy("sport", band(F.col("p"), EDGES).alias("band"), "period").agg(F.count(F.lit(1)).alias("n"), F.avg("profit").alias("mean_return"), F.round(F.regr_slope("profit", "ev"), 5).alias("slope"), q.alias("q"))
+    b, by = b.withColumn("band", band(F.col("p"), EDGES)), ["sport", "band", "period"]
+    got = b.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("profit").alias("mean_return"), F.round(F.regr_slope("profit", "ev"), 5).alias("slope")).join(M.percentiles(b, by, "ev", [0.25, 0.75]), by)
     return rounded(got.select("sport", "band", "period", "n", "mean_return", "slope", F.col("q")[0].alias("ev_q1"), F.col("q")[1].alias("ev_q3")))
 
 
@@ -127,6 +129,42 @@ def bootstrap(t):
     return rounded(M.bootstrap(t.bets(), "event", F.col("profit"), F.col("staked"), 20, ["sport"]))
 
 
+def _draws_sql(value: str, weight: str, by: str = "sport") -> str:
+    return f"""
+, c as (select {by}, event, sum({value}) as v, sum({weight}) as w from bets group by all), d as (select *, unnest(range(40)) as draw from c),
+k as (select *, ('0x' || substr(md5('boot|' || event || '|' || draw), 1, 12))::bigint / 281474976710656.0::double as u from d), m as (select *, {_poisson_sql('u')} as k from k),
+e as (select {by}, draw, sum(k * v) / sum(k * w) as estimate from m group by all)"""
+
+
+INTERVAL_SQL = "round(avg(estimate), 6) as mean, round(quantile_cont(estimate, 0.025), 6) as low, round(quantile_cont(estimate, 0.975), 6) as high"
+
+
+def _interval(draws, by):
+    """Mean and 95 % percentile interval of the estimates of a bounded number of draws."""
+    q = F.percentile("estimate", F.array(F.lit(0.025), F.lit(0.975)))
+    return rounded(draws.groupBy(*by).agg(F.avg("estimate").alias("mean"), q.alias("q")).select(*by, "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high")))
+
+
+@query("a23_mean_interval", "bets", _draws_sql("y - p", "1") + "select sport, " + INTERVAL_SQL + " from e group by sport")
+def mean_interval(t):
+    return _interval(M.bootstrap(t.bets(), "event", F.col("y") - F.col("p"), F.lit(1), 40, ["sport"]), ["sport"])
+
+
+@query("a23_paired_difference", "bets", _draws_sql("(p - y) ** 2 - (least(0.95, 1 / odds) - y) ** 2", "1") + "select sport, " + INTERVAL_SQL + " from e group by sport")
+def paired_interval(t):
+    """Squared errors of the model and of the price on the same bets."""
+    square = lambda c: F.pow(c - F.col("y"), 2)
+    loss = square(F.col("p")) - square(F.least(F.lit(0.95), 1 / F.col("odds")))
+    return _interval(M.bootstrap(t.bets(), "event", loss, F.lit(1), 40, ["sport"]), ["sport"])
+
+
+@query("a23_two_sample_difference", "bets", _draws_sql("profit", "staked") + ", t as (select draw, max(estimate) filter (sport = 'A') - max(estimate) filter (sport = 'R') as estimate from e group by draw) select " + INTERVAL_SQL + " from t")
+def two_sample(t):
+    of = lambda s: F.max(F.when(F.col("sport") == s, F.col("estimate")))
+    draws = M.bootstrap(t.bets(), "event", F.col("profit"), F.col("staked"), 40, ["sport"])
+    return _interval(draws.groupBy("draw").agg((of("A") - of("R")).alias("estimate")), [])
+
+
 @query("a27_correlation", "bets", "select sport, round(coalesce(corr(p, odds), 0), 6) as r from bets group by sport")
 def correlation(t):
     return rounded(t.bets().groupBy("sport").agg(F.coalesce(F.corr("p", "odds"), F.lit(0.0)).alias("r")))
@@ -244,16 +282,16 @@ def triples(t):
 
 @query("w21_group_relative", "bets", "select bet_id, round(odds - avg(odds) over (partition by sport, season), 6) as relative from bets")
 def relative(t):
-    return rounded(t.bets().select("bet_id", (F.col("odds") - F.avg("odds").over(W.partitionBy("sport", "season"))).alias("relative")))
+    """Means are taken by group and joined back: a group of any size stays spread."""
+    mean = t.bets().groupBy("sport", "season").agg(F.avg("odds").alias("mean"))
+    return rounded(t.bets().join(mean, ["sport", "season"]).select("bet_id", (F.col("odds") - F.col("mean")).alias("relative")))
 
 
 @query("w22_rank_slices", "bets", """
 , r as (select season, bet_id, row_number() over (partition by season order by odds, bet_id) as r, count(*) over (partition by season) as n from bets)
 select season, bet_id, least((r - 1) // greatest(n // 4, 1), 3)::int as slice, case when r <= n // 2 then 'low' else 'high' end as half from r""")
 def slices(t):
-    w = W.partitionBy("season")
-    r, n = F.row_number().over(w.orderBy("odds", "bet_id")), F.count(F.lit(1)).over(w)
-    x = t.bets().select("season", "bet_id", r.alias("r"), n.alias("n"))
+    x = M.group_rank(t.bets(), ["season"], [F.col("odds"), F.col("bet_id")]).select("season", "bet_id", (F.col("rank") + 1).alias("r"), F.col("_n").alias("n"))
     return x.select("season", "bet_id", F.least(F.floor((F.col("r") - 1) / F.greatest(F.floor(F.col("n") / 4), F.lit(1))), F.lit(3)).cast("int").alias("slice"), F.when(F.col("r") <= F.floor(F.col("n") / 2), "low").otherwise("high").alias("half"))
 
 

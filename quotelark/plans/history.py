@@ -18,6 +18,23 @@ def form(t):
     return rounded(H.form(t.history(), 5).withColumn("form_spread", F.round("form_spread", 5)))
 
 
+@query("w1_venue_form", "history", """
+, v as (select *, goals_against >= 3 as home from history)
+select team, match_id, home, count(*) over w as window_matches, round(avg(goals_for) over w, 6) as form_for, round(avg(goals_against) over w, 6) as form_against from v window w as (partition by team, home order by day, match_id rows between 5 preceding and 1 preceding)""")
+def venue_form(t):
+    """Form of each team's home matches and of its away matches."""
+    got = H.form(t.history().withColumn("home", F.col("goals_against") >= 3), 5, ["home"])
+    return rounded(got.select("team", "match_id", "home", "window_matches", "form_for", "form_against"))
+
+
+@query("w1_conversion", "history", """
+, v as (select *, case when goals_against > 1 then goals_for + goals_against end as shots from history)
+select team, match_id, round(avg(goals_for) over w / nullif(avg(shots) over w, 0), 6) as conversion from v window w as (partition by team order by day, match_id rows between 5 preceding and 1 preceding)""")
+def conversion(t):
+    rows = t.history().withColumn("shots", F.when(F.col("goals_against") > 1, F.col("goals_for") + F.col("goals_against")))
+    return rounded(H.conversion(rows, 5, "goals_for", "shots"))
+
+
 @query("w2_rolling_mean_min_periods", "history", """
 select team, match_id, round(case when count(goals_for) over w >= 3 then avg(goals_for) over w end, 6) as rolling from history window w as (partition by team order by day, match_id rows between 10 preceding and 1 preceding)""")
 def rolling(t):
@@ -30,8 +47,8 @@ select team, match_id, round(coalesce(avg(goals_for) over (partition by team ord
   avg(goals_for) over (partition by league order by day, match_id, team rows between unbounded preceding and 1 preceding), 25.0::double), 6) as prior_mean from history""")
 def expanding(t):
     own = F.avg("goals_for").over(H.prior(["team"], ["day", "match_id"]))
-    league = F.avg("goals_for").over(H.prior(["league"], ["day", "match_id", "team"]))
-    return rounded(t.history().select("team", "match_id", F.coalesce(own, league, F.lit(25.0)).alias("prior_mean")))
+    rows = H.prior_sums(t.history(), "league", "day", ["match_id", "team"], {"_s": F.col("goals_for")})
+    return rounded(rows.select("team", "match_id", F.coalesce(own, F.try_divide(F.col("_s"), F.col("prior_n")), F.lit(25.0)).alias("prior_mean")))
 
 
 @query("w4_laplace_outcome_frequencies", "history", """

@@ -117,10 +117,16 @@ def stream_append(t):
 
 @query("q8_stream_daily_counts", "", "select user_id, date_trunc('day', ts) as begin, count(*) as n from events group by all")
 def stream_counts(t):
-    where, name = new_path(t.spark), f"counts_{uuid.uuid4().hex}"
-    events = t.read("events")
+    path, events = new_path(t.spark), t.read("events")
     rows = S.read_files(t.spark, f"{t.dir}/events.parquet*", events.schema).withColumn("ts", F.col("ts").cast("timestamp"))
-    counts = S.counters(rows, "ts", "user_id")
-    out = counts.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{where}/{name}")).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
-    out.awaitTermination()
-    return read(t.spark, f"{where}/{name}", counts.schema)
+    counts = S.counters(rows, "ts", "user_id").withColumn("key", F.concat_ws("|", F.col("user_id").cast("string"), F.col("begin").cast("string")))
+    S.upserts(counts, f"{path}/rows", f"{path}/state").awaitTermination()
+    return S.latest_rows(t.spark, f"{path}/rows", "key").drop("key")
+
+
+@query("m3_dispersion", "history", """
+, m as (select *, avg(goals_for) over (partition by team) as rate from history) select league, round(greatest(0.0, sum((goals_for - rate) ** 2 - rate) / sum(rate * rate)), 6) as alpha from m group by league""")
+def negative_binomial(t):
+    """Dispersion about each team's own rate."""
+    rate = t.history().groupBy("team").agg(F.avg("goals_for").alias("rate"))
+    return rounded(M.dispersion(t.history().join(rate, "team"), "goals_for", "league"))

@@ -121,11 +121,11 @@ def clv(t):
 
 
 @query("j22_all_legs_resolved", "bets", """
-, l as (select team as card, event from bets qualify row_number() over (partition by team order by bet_id) <= 3), r as (select event, max(y) as won from bets where event % 5 <> 0 group by event)
+, l as (select team as card, event from bets qualify row_number() over (partition by team order by bet_id) <= 3), r as (select event, max(y) as won from bets where odds < 1.4 group by event)
 select card, count(*) as legs, count(won) as resolved, case when count(*) = count(won) then min(won) end as won from l left join r using (event) group by card""")
 def resolved(t):
     legs = K.top_n(t.bets(), ["team"], [F.col("bet_id")], 3).select(F.col("team").alias("card"), "event")
-    return S.all_or_nothing(legs, t.bets().where("event % 5 <> 0").groupBy("event").agg(F.max("y").alias("won")), "card", "event")
+    return S.all_or_nothing(legs, t.bets().where("odds < 1.4").groupBy("event").agg(F.max("y").alias("won")), "card", "event")
 
 
 @query("j23_outcome_with_conflict", "bets", """
@@ -135,12 +135,12 @@ def conflict(t):
 
 
 @query("j24_j25_settlement_fallback", "bets", """
-, a as (select event, max(y) as result from bets where sport = 'A' group by event), b as (select event, max(y) as result from bets where sport = 'N' and event % 3 = 0 group by event)
+, a as (select event, max(y) as result from bets where sport = 'A' and odds < 1.5 group by event), b as (select event, max(y) as result from bets where sport = 'N' and odds < 1.8 group by event)
 select bet_id, coalesce(a.result, b.result) as result, case when a.result is not null then 'PRIMARY' when b.result is not null then 'FALLBACK' else 'UNRESOLVED' end as source from bets left join a using (event) left join b using (event)""")
 def fallback(t):
     b = t.bets()
     of = lambda where: b.where(where).groupBy("event").agg(F.max("y").alias("result"))
-    return S.settle_with_fallback(b.select("bet_id", "event"), of("sport = 'A'"), of("sport = 'N' and event % 3 = 0"), "event").select("bet_id", "result", "source")
+    return S.settle_with_fallback(b.select("bet_id", "event"), of("sport = 'A' and odds < 1.5"), of("sport = 'N' and odds < 1.8"), "event").select("bet_id", "result", "source")
 
 
 @query("j28_cross_sport_pairs", "bets", """

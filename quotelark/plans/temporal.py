@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quotelark.functions import text as X
 from quotelark.operators import gates as G
+from quotelark.operators import metrics as M
 from quotelark.operators import temporal as T
 from quotelark.plans.registry import query, rounded
 
@@ -164,8 +165,8 @@ def usage(t):
 @query("a38_availability_quantiles", "ticks", """
 select source, count(*) as n, round(quantile_cont(price, 0.1), 6) as q10, round(quantile_cont(price, 0.5), 6) as q50, round(quantile_cont(price, 0.9), 6) as q90, round(avg((price > 50)::int), 6) as above from ticks group by source""")
 def availability(t):
-    q = F.percentile("price", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    got = t.ticks().groupBy("source").agg(F.count(F.lit(1)).alias("n"), q.alias("q"), F.avg((F.col("price") > 50).cast("int")).alias("above"))
+    sums = t.ticks().groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("price") > 50).cast("int")).alias("above"))
+    got = sums.join(M.percentiles(t.ticks(), ["source"], "price", [0.1, 0.5, 0.9]), "source")
     return rounded(got.select("source", "n", F.col("q")[0].alias("q10"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q90"), "above"))
 
 
