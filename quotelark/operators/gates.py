@@ -26,23 +26,20 @@ def confidence(books: Column, std: Column, many: int = 6, some: int = 4, tight:
     return F.when((books >= many) & (std <= tight), "High").when((books >= some) & (std <= loose), "Medium").otherwise("Low")
 
 
-def grade(p: Column, ev: Column, label: Column, books: Column) -> Column:
-    """Ordered gates: first what rejects, then the ladder."""
-    return (
-        F.when((books < 2) | ev.isNull() | (ev <= 0), "Reject")
-        .when(label == "Low", "C")
-        .when((ev >= 0.05) & (p >= 0.5) & (label == "High"), "A+")
-        .when((ev >= 0.03) & (p >= 0.4), "A")
-        .otherwise("B")
-    )
-
-
-def ladder(why: Column, ev: Column, rungs: Mapping[str, Column], reject_below: float, c_below: float) -> Column:
-    """Any hard reason rejects, then too little EV; C below its own bound, then the rungs from the top, and C for the rest."""
-    out = F.when((F.size(why) > 0) | ev.isNull() | (ev < reject_below), "Reject").when(ev < c_below, "C")
-    for name, rule in rungs.items():
-        out = out.when(rule, name)
-    return out.otherwise("C")
+#: Fixed values of the ladder: net EV, edge in percentage points and books that each grade needs at least.
+RUNGS = {"A+": (0.08, 4.0, 5), "A": (0.05, 3.0, 4)}
+B_EV, C_EV = 0.02, 0.0
+
+
+def grade(ev: Column, edge_pp: Column, books: Column, hard: Mapping[str, Column], info_risk: Column, rungs: Mapping[str, tuple] = RUNGS, b_ev: float = B_EV, c_ev: float = C_EV) -> Column:
+    """A hard gate (stale price, unlike rules, thin liquidity, bad data) rejects, then too little EV; below B's EV it is C.
+
+    A+ and A need EV, edge, books and no material information risk; all else that passed is B.
+    """
+    out = F.when(F.size(reasons(hard)) > 0, "Reject").when(ev.isNull() | (ev < c_ev), "Reject").when(ev < b_ev, "C")
+    for name, (least_ev, least_edge, least_books) in rungs.items():
+        out = out.when((ev >= least_ev) & (edge_pp >= least_edge) & (books >= least_books) & ~info_risk, name)
+    return out.otherwise("B")
 
 
 def evidence_grade(p: Column, sigma: Column, odds: Column, state: Column, least_state: int) -> Column:

@@ -19,20 +19,18 @@ OUT = ("A", "N", "R")
 
 @query("g3_ordered_grade_ladder", "bets", """
 , b as (select sport, event, count(distinct team) as books, stddev_pop(p) as std from bets group by all),
-e as (select bet_id, p, odds, books, std, p * odds - 1 as ev, (p - 1 / odds) * 100 as edge, date_diff('day', min(day) over (partition by t.event), day) as risk from bets t join b using (sport, event))
-select bet_id, case when books < 2 then 'Reject' when odds <= 1.05 then 'Reject' when risk > 2000 then 'Reject' when p <= 0.0 or p >= 1.0 then 'Reject' when ev < 0 then 'Reject' when ev < 0.02 then 'C'
-  when ev >= 0.08 and edge >= 4 and books >= 6 and std <= 0.3 then 'A+' when ev >= 0.05 and edge >= 2 and books >= 4 then 'A' when ev >= 0.02 and edge >= 1 then 'B' else 'C' end as grade,
-  list_filter([case when books < 2 then 'BOOKS' end, case when odds <= 1.05 then 'ODDS' end, case when risk > 2000 then 'INFORMATION' end, case when p <= 0.0 or p >= 1.0 then 'PROBABILITY' end], lambda x: x is not null)::varchar as hard from e""")
+e as (select bet_id, p, odds, books, std, p * odds - 1 as ev, (p - 1 / odds) * 100 as edge, date_diff('day', min(day) over (partition by t.event), day) > 2000 as risk from bets t join b using (sport, event))
+select bet_id, case when books < 2 or odds <= 1.05 or p <= 0.0 or p >= 1.0 or odds > 3.5 then 'Reject' when ev < 0 then 'Reject' when ev < 0.02 then 'C'
+  when ev >= 0.08 and edge >= 4 and books >= 5 and not risk then 'A+' when ev >= 0.05 and edge >= 3 and books >= 4 and not risk then 'A' else 'B' end as grade,
+  list_filter([case when odds > 3.5 then 'STALE_PRICE' end, case when p <= 0.0 or p >= 1.0 then 'RULES_DIFFER' end, case when odds <= 1.05 then 'ILLIQUID' end, case when books < 2 then 'DATA_QUALITY' end], lambda x: x is not null)::varchar as hard from e""")
 def ladder(t):
-    """Four hard gates, then the ladder by net EV, edge in percentage points, books and dispersion."""
+    """Four hard gates (each stands in for its flag), then the ladder by net EV, edge in percentage points, books and information risk."""
     b = t.bets()
     spread = b.groupBy("sport", "event").agg(F.count_distinct("team").alias("books"), F.stddev_pop("p").alias("std"))
     e = b.join(spread, ["sport", "event"]).withColumn("ev", F.col("p") * F.col("odds") - 1).withColumn("edge", (F.col("p") - 1 / F.col("odds")) * 100).withColumn("risk", F.datediff("day", F.min("day").over(W.partitionBy("event"))))
-    hard = {"BOOKS": F.col("books") < 2, "ODDS": F.col("odds") <= 1.05, "INFORMATION": F.col("risk") > 2000, "PROBABILITY": (F.col("p") <= 0) | (F.col("p") >= 1)}
     c = F.col
-    rungs = {"A+": (c("ev") >= 0.08) & (c("edge") >= 4) & (c("books") >= 6) & (c("std") <= 0.3), "A": (c("ev") >= 0.05) & (c("edge") >= 2) & (c("books") >= 4), "B": (c("ev") >= 0.02) & (c("edge") >= 1)}
-    why = G.reasons(hard)
-    return e.select("bet_id", G.ladder(why, c("ev"), rungs, reject_below=0.0, c_below=0.02).alias("grade"), F.concat(F.lit("["), F.concat_ws(", ", why), F.lit("]")).alias("hard"))
+    hard = {"STALE_PRICE": c("odds") > 3.5, "RULES_DIFFER": (c("p") <= 0) | (c("p") >= 1), "ILLIQUID": c("odds") <= 1.05, "DATA_QUALITY": c("books") < 2}
+    return e.select("bet_id", G.grade(c("ev"), c("edge"), c("books"), hard, c("risk") > 2000).alias("grade"), F.concat(F.lit("["), F.concat_ws(", ", G.reasons(hard)), F.lit("]")).alias("hard"))
 
 
 @query("g2_quality_and_liquidity_labels", "ticks", """

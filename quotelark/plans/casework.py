@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quotelark.operators import board as B
 from quotelark.operators import temporal as T
-from quotelark.operators.consensus import best_price, consensus, fair_by_book, leave_one_out
-from quotelark.operators.gates import reasons
+from quotelark.operators.consensus import best_price, consensus, fair_by_book, leave_one_out, margins
+from quotelark.operators.gates import grade, reasons
 from quotelark.plans.registry import query, rounded
 
 OUT = ("A", "N", "R")
@@ -248,3 +248,131 @@ def gate(t):
     mid, half = (r + 1.9208 / n) / (1 + 3.8416 / n), 1.96 * F.sqrt(r * (1 - r) / n + 0.9604 / (n * n)) / (1 + 3.8416 / n)
     w = s.select("sport", "n", "mean_p", (mid - half).alias("low"), (mid + half).alias("high"))
     return rounded(w.select("sport", "n", "low", "high", F.when(F.col("n") < 300, "TOO_FEW").when(F.col("mean_p").between(F.col("low"), F.col("high")), "PASS").otherwise("FAIL").alias("gate")))
+
+
+@query("a8_gated_candidates", "quotes fair bets", """
+, c as (select market, outcome, median(p) as p, stddev_pop(p) as sd, count(*) as books from fair group by all), k as (select s_suppkey as book, case when n_regionkey > 0 then n_regionkey / 100.0 end as commission from supplier join nation on s_nationkey = n_nationkey),
+n as (select market, outcome, max((1 + (odds - 1) * (1 - commission), -book)) as x from quotes join k using (book) where commission is not null group by all),
+d as (select market, outcome, p, sd, books, x[1] as net, -x[2] as book, p * x[1] - 1 as ev, (p - 1 / x[1]) * 100 as edge from c join n using (market, outcome)),
+g as (select *, case when books < 2 or net <= 1.05 then 'Reject' when ev < 0 then 'Reject' when ev < 0.02 then 'C' when ev >= 0.08 and edge >= 4 and books >= 5 and sd <= 0.04 then 'A+' when ev >= 0.05 and edge >= 3 and books >= 4 and sd <= 0.04 then 'A' else 'B' end as grade from d),
+w as (select event as market, sport as outcome, max(y) as won from bets group by all)
+select market, outcome, book, round(net, 6) as net, round(ev, 6) as ev, grade, grade in ('A+', 'A', 'B') and net >= 1.5 as qualified, won, round(case when won is null then null when won = 1 then net - 1 else -1.0 end, 6) as pnl from g left join w using (market, outcome)""")
+def gated(t):
+    """One row a market and outcome: the best book by net price, graded and gated; the result is attached after the decision."""
+    k = B.commissions(t.read("supplier"), t.read("nation")).withColumnRenamed("team", "book")
+    net = t.quotes().join(F.broadcast(k), "book").where("commission is not null").withColumn("net", 1 + (F.col("odds") - 1) * (1 - F.col("commission")))
+    best = net.groupBy("market", "outcome").agg(F.max(F.struct("net", (-F.col("book")).alias("b"))).alias("x")).select("market", "outcome", "x.net", (-F.col("x.b")).alias("book"))
+    d = consensus(fair_by_book(t.quotes(), OUT)).join(best, ["market", "outcome"]).withColumn("ev", F.col("median_p") * F.col("net") - 1)
+    g = d.withColumn("grade", grade(F.col("ev"), (F.col("median_p") - 1 / F.col("net")) * 100, F.col("books"), {"DATA_QUALITY": F.col("books") < 2, "LIQUIDITY": F.col("net") <= 1.05}, F.col("std_p") > 0.04))
+    w = t.bets().groupBy(F.col("event").alias("market"), F.col("sport").alias("outcome")).agg(F.max("y").alias("won"))
+    pnl = F.when(F.col("won") == 1, F.col("net") - 1).when(F.col("won") == 0, -1.0)
+    return rounded(g.join(w, ["market", "outcome"], "left").select("market", "outcome", "book", "net", "ev", "grade", (F.col("grade").isin("A+", "A", "B") & (F.col("net") >= 1.5)).alias("qualified"), "won", pnl.alias("pnl")))
+
+
+@query("a20_funnel_and_decisions", "bets", """
+, d as (select *, case when p * odds < 1 then 'REJECT' when odds > 3 then 'MULTI' when p < 0.3 then 'WATCH' else 'PICK' end as decision from bets)
+select decision, count(*) as n, count(distinct event) as events, round(count(*) / sum(count(*)) over (), 6) as share from d group by decision""")
+def funnel(t):
+    decision = F.when(F.col("p") * F.col("odds") < 1, "REJECT").when(F.col("odds") > 3, "MULTI").when(F.col("p") < 0.3, "WATCH").otherwise("PICK")
+    d = t.bets().groupBy(decision.alias("decision")).agg(F.count(ONE).alias("n"), F.count_distinct("event").alias("events"))
+    return rounded(d.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy())))  # four rows
+
+
+@query("a18_qualified_rollup", "bets", """
+, b as (select *, case when odds < 2 then 'short' when odds < 3 then 'middle' else 'long' end as odds_band, p * odds >= 1.05 as qualified from bets)
+select 'all' as subset, sport, odds_band, count(*) as bets, count(distinct event) as events, round(avg(profit), 6) as roi, round(avg(y), 6) as hit from b group by grouping sets ((), (sport), (odds_band))
+union all select 'qualified', sport, odds_band, count(*), count(distinct event), round(avg(profit), 6), round(avg(y), 6) from b where qualified group by grouping sets ((), (sport), (odds_band))""")
+def qualified(t):
+    """Overall, by sport and by odds band, for all bets and again for the qualified ones; maturity counts different events."""
+    b = t.bets().withColumn("odds_band", F.when(F.col("odds") < 2, "short").when(F.col("odds") < 3, "middle").otherwise("long"))
+    of = lambda name, df: df.groupingSets([[], ["sport"], ["odds_band"]], "sport", "odds_band").agg(F.count(ONE).alias("bets"), F.count_distinct("event").alias("events"), F.avg("profit").alias("roi"), F.avg("y").alias("hit")).select(F.lit(name).alias("subset"), "*")
+    return rounded(of("all", b).unionByName(of("qualified", b.where(F.col("p") * F.col("odds") >= 1.05))))
+
+
+@query("a24_bonferroni_and_years", "bets", """
+, b as (select floor(p * 5)::int as bucket, season, y - p as d from bets), g as (select bucket, count(*) as n, avg(d) as gap, stddev_samp(d) / sqrt(count(*)) as se from b group by bucket), y as (select bucket, count(*) filter (m > 0) as up, count(*) filter (m < 0) as down from (select bucket, season, avg(d) as m from b group by all) group by bucket)
+select bucket, n, round(gap, 6) as gap, round(gap - 2.576 * se, 6) as low, round(gap + 2.576 * se, 6) as high, abs(gap) > 2.576 * se as differs, up, down from g join y using (bucket)""")
+def bonferroni(t):
+    """Five buckets at 5 % together (z of 0.995), and the sign of the deviation by year."""
+    b = t.bets().select(F.floor(F.col("p") * 5).cast("int").alias("bucket"), "season", (F.col("y") - F.col("p")).alias("d"))
+    g = b.groupBy("bucket").agg(F.count(ONE).alias("n"), F.avg("d").alias("gap"), (F.stddev_samp("d") / F.sqrt(F.count(ONE))).alias("se"))
+    y = b.groupBy("bucket", "season").agg(F.avg("d").alias("m")).groupBy("bucket").agg(F.count_if(F.col("m") > 0).alias("up"), F.count_if(F.col("m") < 0).alias("down"))
+    z = 2.576 * F.col("se")
+    return rounded(g.join(y, "bucket").select("bucket", "n", "gap", (F.col("gap") - z).alias("low"), (F.col("gap") + z).alias("high"), (F.abs("gap") > z).alias("differs"), "up", "down"))
+
+
+@query("j15_ledger_enrichment", "ticks starts", """
+, s as (select s.entity, s.start_id, start_ts from starts s), c as (select entity, date_trunc('week', ts) as week, max(price) as captured from ticks where source = 'purchase' group by all), q as (select s.start_id, (select arg_max(price, (ts, tick_id)) from ticks k where k.entity = s.entity and k.ts < s.start_ts) as pre_close from s),
+e as (select entity, count(*) as settled from ticks where source = 'error' group by entity)
+select s.start_id, coalesce(captured, pre_close) as close_price, case when captured is not null then 'CAPTURE' when pre_close is not null then 'PRE_CLOSE' end as origin, settled, list_filter([case when captured is null then 'NO_CAPTURE' end, case when pre_close is null then 'NO_QUOTE' end, case when settled is null then 'UNSETTLED' end], lambda x: x is not null)::varchar as flags
+from s left join c on c.entity = s.entity and c.week = date_trunc('week', s.start_ts) left join q using (start_id) left join e on e.entity = s.entity""")
+def enrichment(t):
+    """The close is the captured price, else the last quote before the start; flags tell what is missing."""
+    week = lambda c: F.date_trunc("week", c).cast("timestamp_ntz")
+    s = t.starts().select("entity", "start_id", "start_ts", week("start_ts").alias("week"), (F.col("start_ts") - F.expr("INTERVAL '0.000001' SECOND")).alias("before"))
+    c = t.ticks().where("source = 'purchase'").groupBy("entity", week("ts").alias("week")).agg(F.max("price").alias("captured"))
+    e = t.ticks().where("source = 'error'").groupBy("entity").agg(F.count(ONE).alias("settled"))
+    got = T.as_of(s, t.ticks(), "entity", "before", "ts", ["price"], "tick_id").join(c, ["entity", "week"], "left").join(e, "entity", "left")
+    why = reasons({"NO_CAPTURE": F.col("captured").isNull(), "NO_QUOTE": F.col("as_of_price").isNull(), "UNSETTLED": F.col("settled").isNull()})
+    origin = F.when(F.col("captured").isNotNull(), "CAPTURE").when(F.col("as_of_price").isNotNull(), "PRE_CLOSE")
+    return got.select("start_id", F.coalesce("captured", "as_of_price").alias("close_price"), origin.alias("origin"), "settled", F.concat(F.lit("["), F.concat_ws(", ", why), F.lit("]")).alias("flags"))
+
+
+@query("j18_sharp_and_soft_books", "quotes fair", """
+, m as (select book, avg(s - 1) as margin from whole group by book), r as (select book, row_number() over (order by margin, book) as r from m), sharp as (select f.market, f.outcome, median(f.p) as sharp_p from fair f join r using (book) where r <= 3 group by all), c as (select market, outcome, median(p) as close_p from fair group by all)
+select f.market, f.book, f.outcome, round(f.odds * close_p - 1, 6) as clv, round(f.odds * sharp_p - 1, 6) as clv_sharp, round(sharp_p - close_p, 6) as lean from fair f join c using (market, outcome) left join sharp using (market, outcome)""")
+def sharp(t):
+    """Each price against the consensus and against the three books of the least margin."""
+    f = fair_by_book(t.quotes(), OUT)
+    m = margins(t.quotes(), OUT).withColumn("r", F.row_number().over(W.orderBy("margin", "book"))).where("r <= 3")  # a row a book
+    s = f.join(F.broadcast(m.select("book")), "book").groupBy("market", "outcome").agg(F.median("p").alias("sharp_p"))
+    both = f.join(consensus(f).select("market", "outcome", "median_p"), ["market", "outcome"]).join(s, ["market", "outcome"], "left")
+    return rounded(both.select("market", "book", "outcome", (F.col("odds") * F.col("median_p") - 1).alias("clv"), (F.col("odds") * F.col("sharp_p") - 1).alias("clv_sharp"), (F.col("sharp_p") - F.col("median_p")).alias("lean")))
+
+
+@query("a7_margin_by_timing", "", """
+with q as (select l_partkey as market, l_suppkey as book, case when l_linestatus = 'O' then 'opening' else 'closing' end as timing, l_returnflag as outcome, max(1 + l_tax * 10 + l_quantity / 50) as odds from lineitem group by all), w as (select market, book, timing, sum(1 / odds) - 1 as margin from q group by all having count(*) = 3)
+select book, round(avg(margin) filter (timing = 'opening'), 6) as opening, round(avg(margin) filter (timing = 'closing'), 6) as closing, count(*) as markets from w group by book""")
+def timing(t):
+    q = t.read("lineitem").groupBy(F.col("l_partkey").alias("market"), F.col("l_suppkey").alias("book"), F.when(F.col("l_linestatus") == "O", "opening").otherwise("closing").alias("timing"), "l_returnflag").agg(F.max(1 + F.col("l_tax") * 10 + F.col("l_quantity") / 50).alias("odds"))
+    w = q.groupBy("market", "book", "timing").agg((F.sum(1 / F.col("odds")) - 1).alias("margin"), F.count(ONE).alias("n")).where("n = 3")
+    of = lambda k: F.avg(F.when(F.col("timing") == k, F.col("margin"))).alias(k)
+    return rounded(w.groupBy("book").agg(of("opening"), of("closing"), F.count(ONE).alias("markets")))
+
+
+@query("w6_season_to_date", "history", """
+, d as (select team, year(day)::int as season, day, sum(goals_for) as g, count(*) as n from history group by all)
+select team, season, day, round(sum(g) over w / sum(n) over w, 6) as season_rate, count(*) over (partition by team order by day rows between unbounded preceding and 1 preceding) = 0 as new_team from d window w as (partition by team, season order by day rows between unbounded preceding and 1 preceding)""")
+def season_to_date(t):
+    d = t.history().groupBy("team", F.year("day").alias("season"), "day").agg(F.sum("goals_for").alias("g"), F.count(ONE).alias("n"))
+    before = lambda *by: W.partitionBy(*by).orderBy("day").rowsBetween(W.unboundedPreceding, -1)
+    w = before("team", "season")
+    return rounded(d.select("team", "season", "day", (F.sum("g").over(w) / F.sum("n").over(w)).alias("season_rate"), (F.count(ONE).over(before("team")) == 0).alias("new_team")))
+
+
+@query("w13_filled_state", "history", """
+, r as (select *, row_number() over (partition by team order by day desc, match_id desc) as r from history), s as (select team, league, case when count(*) >= 4 then avg(goals_for) end as own from r where r <= 6 group by all), l as (select league, avg(goals_for) as division, count(*) as n from history group by league), g as (select avg(goals_for) as overall from history)
+select s.team, round(coalesce(own, case when n >= 10 then division end, overall), 6) as state, case when own is not null then 'OWN' when n >= 10 then 'DIVISION' else 'GLOBAL' end as origin from s join l using (league), g""")
+def filled(t):
+    """The last six matches, else the division's mean, else the mean of all."""
+    h = t.history()
+    r = F.row_number().over(W.partitionBy("team").orderBy(F.desc("day"), F.desc("match_id")))
+    s = h.withColumn("r", r).where("r <= 6").groupBy("team", "league").agg(F.when(F.count(ONE) >= 4, F.avg("goals_for")).alias("own"))
+    l = h.groupBy("league").agg(F.avg("goals_for").alias("division"), F.count(ONE).alias("n"))  # a row a league
+    g = h.agg(F.avg("goals_for").alias("overall"))  # one row
+    division = F.when(F.col("n") >= 10, F.col("division"))
+    origin = F.when(F.col("own").isNotNull(), "OWN").when(division.isNotNull(), "DIVISION").otherwise("GLOBAL")
+    return rounded(s.join(F.broadcast(l), "league").crossJoin(F.broadcast(g)).select("team", F.coalesce("own", division, "overall").alias("state"), origin.alias("origin")))
+
+
+@query("g12_leakage_checks", "bets", """
+, e as (select event, count(*) filter (season < 1999) as train, count(*) filter (season >= 1999) as test, min(day) as first_day from bets group by event)
+select 'EVENT_IN_BOTH' as check_name, count(*) as hits from e where train > 0 and test > 0 union all select 'TARGET_EQUALS_FEATURE', count(*) from bets where p = y union all select 'BET_BEFORE_EVENT', count(*) from bets b join e using (event) where b.day < e.first_day
+union all select 'REPEATED_ID', count(*) - count(distinct bet_id) from bets""")
+def leakage(t):
+    """Counts of what a split must not have: events on both sides, features that are the target, bets ahead of their event, repeated ids."""
+    b = t.bets()
+    e = b.groupBy("event").agg(F.count_if(F.col("season") < 1999).alias("train"), F.count_if(F.col("season") >= 1999).alias("test"), F.min("day").alias("first_day"))
+    row = lambda name, df, n: df.agg(n.cast("long").alias("hits")).select(F.lit(name).alias("check_name"), "hits")
+    early = b.join(e, "event").where("day < first_day")
+    return row("EVENT_IN_BOTH", e, F.count_if((F.col("train") > 0) & (F.col("test") > 0))).unionByName(row("TARGET_EQUALS_FEATURE", b, F.count_if(F.col("p") == F.col("y")))).unionByName(row("BET_BEFORE_EVENT", early, F.count(ONE))).unionByName(row("REPEATED_ID", b, F.count(ONE) - F.count_distinct("bet_id")))

@@ -45,7 +45,7 @@ def logistic(t):
     return rounded(M.logistic(b.where("season < 1999"), b.where("season >= 1999"), ["p", "odds"], "y").select("bet_id", F.col("chances")[1].alias("p_model")))
 
 
-@query("m5_pooled_walk_forward", "bets", """
+FOLD_FITS = """
 , v as (select s.season as fold, b.p, count(*) as n, sum(b.y) as pos, ln(b.p / (1 - b.p)) as x from bets b join (select distinct season from bets) s on b.season < s.season group by all),
 fit as (with recursive s as (
   select distinct fold, 0.0::double as a, 1.0::double as b, 0 as i from v
@@ -54,7 +54,10 @@ fit as (with recursive s as (
     select s.fold, s.a, s.b, s.i, sum(n * q * (1 - q)) as h0, sum(n * q * (1 - q) * x) as h1, sum(n * q * (1 - q) * x * x) as h2, sum(n * q - pos) as g0, sum((n * q - pos) * x) as g1
     from (select s.*, v.n, v.pos, v.x, 1 / (1 + exp(-(s.a + s.b * v.x))) as q from s join v using (fold) where s.i < 12) s group by s.fold, s.a, s.b, s.i)
 ) select fold, a, b from s where i = 12)
-select season, count(*) as n, round(avg(-case when y = 1 then ln(m) else ln(1 - m) end), 6) as model_loss, round(avg(-case when y = 1 then ln(p) else ln(1 - p) end), 6) as raw_loss
+"""
+
+
+@query("m5_pooled_walk_forward", "bets", FOLD_FITS + """select season, count(*) as n, round(avg(-case when y = 1 then ln(m) else ln(1 - m) end), 6) as model_loss, round(avg(-case when y = 1 then ln(p) else ln(1 - p) end), 6) as raw_loss
 from (select b.*, 1 / (1 + exp(-(f.a + f.b * ln(b.p / (1 - b.p))))) as m from bets b join fit f on b.season = f.fold) group by season""")
 def pooled(t):
     """Each season by a fit on all earlier ones; predictions are pooled and compared on the same bets."""
@@ -63,6 +66,29 @@ def pooled(t):
     return rounded(got.groupBy("season").agg(F.count(F.lit(1)).alias("n"), loss("model_p").alias("model_loss"), loss("p").alias("raw_loss")))
 
 
+MODELS = """, o as (select b.season, b.y, 1 / (1 + exp(-(f.a + f.b * ln(b.p / (1 - b.p))))) as recalibrated, b.p as raw, least(0.95, 1 / b.odds) as price from bets b join fit f on b.season = f.fold), m as (unpivot o on recalibrated, raw, price into name model value q)
+"""
+
+
+def _long(t):
+    """Walk-forward predictions of the three models on the same bets, a row each."""
+    rows = M.walk_forward(t.bets(), "season").select("season", "y", F.col("model_p").alias("recalibrated"), F.col("p").alias("raw"), F.least(F.lit(0.95), 1 / F.col("odds")).alias("price"))
+    return rows.unpivot(["season", "y"], ["recalibrated", "raw", "price"], "model", "q")
+
+
+@query("c17_models_on_folds", "bets", FOLD_FITS + MODELS + """select model, count(*) as n, round(avg((q - y) ** 2), 6) as brier, round(avg(-case when y = 1 then ln(q) else ln(1 - q) end), 6) as log_loss, round(avg(q - y), 6) as bias from m group by model""")
+def compare_models(t):
+    q, y = F.col("q"), F.col("y")
+    return rounded(_long(t).groupBy("model").agg(F.count("*").alias("n"), F.avg(F.pow(q - y, 2)).alias("brier"), F.avg(-F.when(y == 1, F.log(q)).otherwise(F.log(1 - q))).alias("log_loss"), F.avg(q - y).alias("bias")))
+
+
+@query("c18_error_analysis", "bets", FOLD_FITS + MODELS + """select model, least(floor(q * 5), 4)::int as band, count(*) as n, round(avg(q), 6) as mean_p, round(avg(y), 6) as rate, round(max(abs(q - y)), 6) as worst from m group by all""")
+def error_analysis(t):
+    """Reliability by band and the largest miss, for each estimator."""
+    band_ = F.least(F.floor(F.col("q") * 5), F.lit(4)).cast("int")
+    return rounded(_long(t).groupBy("model", band_.alias("band")).agg(F.count("*").alias("n"), F.avg("q").alias("mean_p"), F.avg("y").alias("rate"), F.max(F.abs(F.col("q") - F.col("y"))).alias("worst")))
+
+
 @query("m6_implied_goal_rates", "quotes fair", """
 , m as (select market, avg(p) filter (outcome = 'A') as p_home, avg(p) filter (outcome = 'R') as p_away, 0.3 + avg(p) filter (outcome = 'N') as p_over from fair group by market),
 g as (select i * 0.25::double as l, k, exp(-i * 0.25::double) * pow(i * 0.25::double, k) / factorial(k::int) as pk from range(1, 17) a(i), range(0, 11) b(k)),

@@ -13,19 +13,25 @@ from quotelark.sources.driver_tables import OUTCOMES
 COMMISSION = 0.02
 
 
+def graded(p, odds, std):
+    """The ladder over a consensus: too few books are bad data, no price to speak of is thin liquidity, a wide spread is a risk."""
+    edge = (F.col(p) - 1 / F.col(odds)) * 100
+    return G.grade(F.col("ev"), edge, F.col("books"), {"DATA_QUALITY": F.col("books") < 2, "LIQUIDITY": F.col(odds) <= 1.05}, F.col(std) > 0.04)
+
+
 @query("flagship_daily_scan", "quotes fair", """
 , cons as (select market, outcome, median(p) as median_p, count(*) as books, stddev_pop(p) as std_p from fair group by all having count(*) >= 2),
 best as (select market, outcome, max(odds) as best_odds, arg_max(book, (odds, -book)) as best_book from quotes group by all),
-priced as (select *, median_p * (best_odds - 1) * 0.98 - (1 - median_p) as ev from cons join best using (market, outcome)),
+priced as (select *, median_p * (best_odds - 1) * 0.98 - (1 - median_p) as ev, (median_p - 1 / best_odds) * 100 as edge, std_p > 0.04 as risk from cons join best using (market, outcome)),
 graded as (select *, case when books >= 6 and std_p <= 0.02 then 'High' when books >= 4 and std_p <= 0.04 then 'Medium' else 'Low' end as label from priced)
 select market, outcome, best_book, best_odds, round(median_p, 6) as median_p, round(ev, 6) as ev, label,
-       case when books < 2 or ev <= 0 then 'Reject' when label = 'Low' then 'C' when ev >= 0.05 and median_p >= 0.5 and label = 'High' then 'A+' when ev >= 0.03 and median_p >= 0.4 then 'A' else 'B' end as grade
+       case when books < 2 or best_odds <= 1.05 then 'Reject' when ev is null or ev < 0 then 'Reject' when ev < 0.02 then 'C' when ev >= 0.08 and edge >= 4 and books >= 5 and not risk then 'A+' when ev >= 0.05 and edge >= 3 and books >= 4 and not risk then 'A' else 'B' end as grade
 from graded""")
 def daily_scan(t):
     """Quotes to margin-free consensus, best price, expected value, label and grade."""
     q = t.quotes()
     rows = C.candidates(q, OUTCOMES, least_books=2).withColumn("ev", O.net_ev(F.col("median_p"), F.col("best_odds"), F.lit(COMMISSION))).withColumn("label", G.confidence(F.col("books"), F.col("std_p")))
-    out = rows.withColumn("grade", G.grade(F.col("median_p"), F.col("ev"), F.col("label"), F.col("books")))
+    out = rows.withColumn("grade", graded("median_p", "best_odds", "std_p"))
     return rounded(out.select("market", "outcome", "best_book", "best_odds", "median_p", "ev", "label", "grade"))
 
 
@@ -141,14 +147,14 @@ def validation(t):
 
 @query("g2_g3_g4_labels_and_grades", "quotes fair", """
 , c as (select market, outcome, median(p) as p, stddev_pop(p) as sd, count(*) as books, max(odds) as best_odds from fair group by all),
-e as (select *, p * (best_odds - 1) - (1 - p) as ev, case when books >= 6 and sd <= 0.02 then 'High' when books >= 4 and sd <= 0.04 then 'Medium' else 'Low' end as label from c),
-g as (select *, case when books < 2 or ev <= 0 then 'Reject' when label = 'Low' then 'C' when ev >= 0.05 and p >= 0.5 and label = 'High' then 'A+' when ev >= 0.03 and p >= 0.4 then 'A' else 'B' end as grade from e)
+e as (select *, p * (best_odds - 1) - (1 - p) as ev, (p - 1 / best_odds) * 100 as edge, sd > 0.04 as risk, case when books >= 6 and sd <= 0.02 then 'High' when books >= 4 and sd <= 0.04 then 'Medium' else 'Low' end as label from c),
+g as (select *, case when books < 2 or best_odds <= 1.05 then 'Reject' when ev is null or ev < 0 then 'Reject' when ev < 0.02 then 'C' when ev >= 0.08 and edge >= 4 and books >= 5 and not risk then 'A+' when ev >= 0.05 and edge >= 3 and books >= 4 and not risk then 'A' else 'B' end as grade from e)
 select market, outcome, label, grade, case when grade in ('A+', 'A', 'B') and best_odds < 1.5 then 'C' else grade end as floored from g""")
 def grades(t):
     fair = C.fair_by_book(t.quotes(), OUTCOMES)
     c = fair.groupBy("market", "outcome").agg(F.median("p").alias("p"), F.stddev_pop("p").alias("sd"), F.count(F.lit(1)).alias("books"), F.max("odds").alias("best_odds"))
     e = c.withColumn("ev", O.net_ev(F.col("p"), F.col("best_odds"), F.lit(0.0))).withColumn("label", G.confidence(F.col("books"), F.col("sd")))
-    g = e.withColumn("grade", G.grade(F.col("p"), F.col("ev"), F.col("label"), F.col("books")))
+    g = e.withColumn("grade", graded("p", "best_odds", "sd"))
     return g.select("market", "outcome", "label", "grade", G.payout_floor(F.col("grade"), F.col("best_odds"), 1.5).alias("floored"))
 
 
