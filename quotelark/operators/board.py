@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quotelark.operators.gates import GRADES
+from quotelark.scratch import cut
 
 
 def commissions(supplier: DataFrame, nation: DataFrame) -> DataFrame:
@@ -117,3 +118,28 @@ def shrunken_prior(rows: DataFrame, key: str, league: str, day: str, value: str,
     own = per.select(league, key, day, F.sum("s").over(before(key)).alias("s"), F.sum("n").over(before(key)).alias("n"))
     rate = (F.coalesce("s", F.lit(0.0)) + weight * F.col("base")) / (F.coalesce("n", F.lit(0)) + weight)
     return own.join(base, [league, day]).select(key, day, rate.alias("rate"))
+
+
+def derive_aliases(fixtures: DataFrame, odds: DataFrame, comp: str, slot: str, team: str, name: str) -> DataFrame:
+    """(comp, team, name, status): the other source's name of each team, from fixtures that share a slot.
+
+    A name stays a candidate if it stands in every slot of the team. A team with one candidate takes it from all others, until
+    nothing changes; two teams that claim one name reject their competition. Each round is a join of candidates, which are few.
+    """
+    seen = fixtures.select(comp, slot, team).distinct()
+    need = seen.groupBy(comp, team).agg(F.count("*").alias("_need"))
+    met = seen.join(odds.select(comp, slot, name).distinct(), [comp, slot]).groupBy(comp, team, name).agg(F.count("*").alias("_met"))
+    left = cut(met.join(need, [comp, team]).where("_met = _need").select(comp, team, name))
+    n = left.count()
+    while True:
+        alone = left.groupBy(comp, team).agg(F.count("*").alias("_n"), F.min(name).alias(name)).where("_n = 1")
+        owners = alone.groupBy(comp, name).agg(F.collect_set(team).alias("_owners"))
+        after = cut(left.join(owners, [comp, name], "left").where(F.col("_owners").isNull() | F.array_contains("_owners", F.col(team))).select(comp, team, name))
+        m = after.count()
+        if m == n:
+            break
+        left, n = after, m
+    rejected = owners.where(F.size("_owners") > 1).select(comp).distinct().withColumn("_rejected", F.lit(True))
+    got = need.select(comp, team).join(left.groupBy(comp, team).agg(F.count("*").alias("_n"), F.min(name).alias(name)), [comp, team], "left").join(rejected, comp, "left")
+    status = F.when(F.col("_rejected"), "CONFLICT").when(F.col("_n").isNull(), "NONE").when(F.col("_n") == 1, "MATCHED").otherwise("AMBIGUOUS")
+    return got.select(comp, team, F.when(status == "MATCHED", F.col(name)).alias(name), status.alias("status"))

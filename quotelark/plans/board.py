@@ -262,3 +262,11 @@ def oriented(t):
     """Home keeps a feature's sign, away turns it, a draw is minus its size."""
     side = F.when(F.col("goals_for") > 25, "HOME").when(F.col("goals_for") < 20, "AWAY").otherwise("DRAW")
     return rounded(t.history().withColumn("side", side).select("team", "match_id", B.oriented("side", "goals_against").alias("oriented"), "side"))
+
+
+@query("j10_derived_aliases")
+def aliases(t):
+    """Names of one source from the other's, by the slots that their fixtures share."""
+    o = t.read("orders").join(t.read("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = o.select(F.col("o_orderpriority").alias("comp"), F.to_date("o_orderdate").alias("slot"), F.col("c_nationkey").alias("team"), F.concat(F.lit("T"), (F.col("c_nationkey") * 7 % 25).cast("string")).alias("name"), "o_orderstatus")
+    return B.derive_aliases(rows.where("o_orderstatus = 'F'"), rows, "comp", "slot", "team", "name")

@@ -114,3 +114,18 @@ def test_stream_keeps_late_keys(spark, tmp_path):
         spark.createDataFrame(rows, "k int, t string").select("k", F.to_timestamp("t").alias("ts")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     S.append_to_ledger(S.read_files(spark, f"{tmp_path}/in", schema, 1), f"{tmp_path}/out", ["k"], ["ts"], f"{tmp_path}/state").awaitTermination()
     assert sorted((r.k, str(r.ts)[:10]) for r in read(spark, f"{tmp_path}/out", schema).collect()) == [(1, "2024-03-01"), (2, "2024-03-09"), (3, "2023-01-01")]
+
+
+def test_derived_aliases(spark):
+    from quotelark.operators.board import derive_aliases
+
+    fixtures = [("c", 1, "x"), ("c", 2, "x"), ("c", 1, "y"), ("c", 3, "y"), ("c", 3, "z"), ("d", 1, "p"), ("d", 1, "q"), ("e", 1, "r"), ("e", 1, "s"), ("e", 2, "u")]
+    odds = [("c", 1, "X"), ("c", 1, "Y"), ("c", 2, "X"), ("c", 3, "Y"), ("c", 3, "Z"), ("d", 1, "P"), ("d", 1, "Q"), ("e", 1, "R")]
+    a, b = spark.createDataFrame(fixtures, "comp string, slot int, team string"), spark.createDataFrame(odds, "comp string, slot int, name string")
+    got = {r.team: (r.name, r.status) for r in derive_aliases(a, b, "comp", "slot", "team", "name").collect()}
+    assert got == {"x": ("X", "MATCHED"), "y": ("Y", "MATCHED"), "z": ("Z", "MATCHED"), "p": (None, "AMBIGUOUS"), "q": (None, "AMBIGUOUS"), "r": (None, "CONFLICT"), "s": (None, "CONFLICT"), "u": (None, "CONFLICT")}
+
+
+def test_derived_aliases_are_true(spark):
+    got = catalog.QUERIES["j10_derived_aliases"](spark, DIR).collect()
+    assert len(got) > 100 and all(r.name == f"T{r.team * 7 % 25}" for r in got if r.status == "MATCHED") and {r.status for r in got} <= {"MATCHED", "AMBIGUOUS"}
