@@ -74,9 +74,11 @@ def counts(texts: pa.Array, table_: np.ndarray) -> np.ndarray:
 
 
 def weighted(got: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    out = np.log1p(got) * idf
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.maximum(norm, 1e-9)
+    """Log counts by idf as unit rows, in place of the counts."""
+    np.log1p(got, out=got)
+    got *= idf
+    got /= np.maximum(np.linalg.norm(got, axis=1, keepdims=True), 1e-9)
+    return got
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -122,16 +124,23 @@ def fit(docs: DataFrame, labels: DataFrame, sizes: dict[int, int] | None = None)
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_ = bins()
         for block in small(batches):
-            got = counts(block.column("text"), table_).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("label"), pa.array([r.tobytes() for r in got], pa.binary())], ["doc_id", "label", "counts"])
+            got = counts(block.column("text"), table_)
+            places = [np.flatnonzero(row) for row in got]
+            packed = [pa.array([x.astype(t).tobytes() for x in xs], pa.binary()) for xs, t in ((places, np.int16), ([row[k] for row, k in zip(got, places)], np.float32))]
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("label"), *packed], ["doc_id", "label", "bins", "counts"])
 
-    found = sorted(rows.mapInArrow(features, "doc_id long, label int, counts binary").collect(), key=lambda r: r["doc_id"])
+    found = sorted(rows.mapInArrow(features, "doc_id long, label int, bins binary, counts binary").collect(), key=lambda r: (r["doc_id"], r["bins"], r["counts"]))
     if not found:
         return None
+    x = np.zeros((len(found), BINS), np.float32)
+    for k, r in enumerate(found):
+        x[k, np.frombuffer(r["bins"], np.int16)] = np.frombuffer(r["counts"], np.float32)
+    labels_ = np.array([r["label"] for r in found], np.float32)
+    del found
     weights = idf(docs)
-    x = weighted(np.stack([np.frombuffer(r["counts"], np.float32) for r in found]), weights)
+    x = weighted(x, weights)
     basis = leading(x, RANK)
-    return Model(weights, basis, unit(x @ basis), np.array([r["label"] for r in found], np.float32))
+    return Model(weights, basis, unit(x @ basis), labels_)
 
 
 def votes(got: np.ndarray, model: Model) -> np.ndarray:
