@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,23 +72,43 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_SIGNS = re.compile(r"[\W_]+")
+
+
 def plain_word(word: str) -> str:
     """A word without case and punctuation; one that is all punctuation stays."""
-    return "".join(c for c in word if c.isalnum()).lower() or word
+    return word.lower() if word.isalnum() else _SIGNS.sub("", word).lower() or word
+
+
+#: Hashes of plain words met in this task, up to a bound; the words of later blocks are mostly among them.
+_MET: dict[str, int] = {}
+MET = 1_000_000
 
 
 def word_hashes(words: pa.Array, plain: bool = False) -> np.ndarray:
-    """A 64-bit hash for every word; each different word is hashed once."""
+    """A 64-bit hash for every word; each different word of a block is hashed once."""
     coded = words.dictionary_encode()
     values = coded.dictionary.to_pylist()
     digest = xxhash.xxh3_64_intdigest
     if plain:
-        table_ = np.fromiter((digest(plain_word(w)) for w in values), np.uint64, len(values))
+        if len(_MET) > MET:
+            _MET.clear()
+        met = list(map(_MET.get, values))
+        for k, (word, known) in enumerate(zip(values, met)):
+            if known is None:
+                met[k] = _MET[word] = digest(plain_word(word))
+        table_ = np.array(met, np.uint64)
     else:
         table_ = np.fromiter((digest(w) for w in values), np.uint64, len(values))
     return table_[coded.indices.to_numpy(zero_copy_only=False)] if len(values) else np.zeros(0, np.uint64)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The different values, sorted."""
+    values = np.sort(values)
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
+
+
 def shingle_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     """Hashes of the runs of `width` neighbouring words; fewer words make one run."""
     n = len(hashes)

@@ -128,16 +128,41 @@ def test_op2_least_run_bounds_what_edits_leave():
             assert {tuple(a[k : k + run + 4]) for k in range(len(a) - run - 3)} & {tuple(b[k : k + run + 4]) for k in range(len(b) - run - 3)}
 
 
+def tree(values, a, b, least, above=None):
+    """Nodes (c, l, r) of the Cartesian tree, by its definition; a node of its parent's value is left out."""
+    if b - a < least:
+        return []
+    c = a + int(values[a:b].argmin())
+    return [(c, a, b)] * int(values[c] != above) + tree(values, a, c, least, values[c]) + tree(values, c + 1, b, least, values[c])
+
+
 def test_op2_windows_are_the_cartesian_tree():
     rng = np.random.default_rng(3)
-    values = rng.permutation(200).astype(np.uint64)
-    got = set(op2.compact_windows(values, 20))
-    for l, c, r in got:
-        assert values[c] == values[l:r].min() and r - l >= 20
-        assert (l == 0 or values[l - 1] < values[c]) and (r == 200 or values[r] < values[c])
-    for i in range(0, 180, 7):
-        c = i + int(values[i : i + 20].argmin())
-        assert any(l <= i and i + 20 <= r and x == c for l, x, r in got)
+    for top in (1 << 60, 1 << 60, 9):  # the last has many equal values
+        values = rng.integers(0, top, 700).astype(np.uint64) << np.uint64(10 if top == 9 else 0)
+        if top == 9:
+            values <<= np.uint64(40)
+        begin, end = np.array([0, 200, 215, 600]), np.array([200, 215, 600, 600])
+        want = sorted(x for a, b in zip(begin, end) for x in tree(values, a, b, 20))
+        assert sorted(zip(*(x.tolist() for x in op2.text_windows(values, begin, end, 20)))) == want
+    assert all(len(x) == 0 for x in op2.text_windows(values, begin[:0], end[:0], 20))
+
+
+def test_op2_regions_are_where_functions_overlap():
+    rng = random.Random(14)
+    rows = []
+    for doc in range(40):
+        for _ in range(rng.randrange(1, 12)):
+            a = rng.randrange(60)
+            rows.append((doc, rng.randrange(4), a, a + rng.randrange(1, 25)))
+    doc, k, a, b = (np.array(x, np.int64) for x in zip(*rows))
+    for least in (2, 4):
+        want = set()
+        for d in range(40):
+            hold = [len({q for x, q, l, r in rows if x == d and l <= at < r}) >= least for at in range(90)]
+            marks = [at for at in range(90) if hold[at] != (hold[at - 1] if at else False)]
+            want |= {(d, s, e) for s, e in zip(marks[::2], marks[1::2])}
+        assert set(zip(*(x.tolist() for x in op2.regions(doc, k, a << 32 | b, least)))) == want
 
 
 def test_op3_and_op5_rank_held_out_labels(spark):
@@ -164,7 +189,7 @@ def test_op5_votes_against_a_full_matrix():
     labels = (np.arange(60) % 3 == 0).astype(np.float32)
     model = op5.Model(rng.random(op5.BINS).astype(np.float32), op5.unit(rng.standard_normal((op5.BINS, 8))), op5.unit(rng.standard_normal((60, 8))), labels)
     counts = rng.poisson(0.1, (9, op5.BINS)).astype(np.float32)
-    for got, row in zip(op5.votes(counts, model), counts):
+    for got, row in zip(op5.votes(counts.copy(), model), counts):
         v = (np.log1p(row) * model.idf) @ model.basis
         cosine = [float(v @ u) / np.linalg.norm(v) for u in model.vectors]
         near = sorted(range(60), key=lambda k: -cosine[k])[: op5.K]
