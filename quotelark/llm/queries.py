@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quotelark.llm import op1_language_id, op2_substring_dedup, op3_toxicity, op4_brown_lm, op5_quality, op6_jaccard, op7_fingerprints, op8_chat, op9_decontamination, op10_mixing
+from quotelark.llm import op1_language_id, op2_substring_dedup, op3_toxicity, op4_brown_lm, op5_quality, op6_jaccard, op7_fingerprints, op8_chat, op9_decontamination, op10_mixing, op11_token_files
 
 QUERIES = {
     "op1_language_id": op1_language_id.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chat": op8_chat.query,
     "op9_decontamination": op9_decontamination.query,
     "op10_mixing": op10_mixing.query,
+    "op11_token_files": op11_token_files.query,
 }
 
 ORACLE_SQL = {"op8_chat": op8_chat.ORACLE, "op10_mixing": op10_mixing.ORACLE}
