@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from quotelark.llm.common import WORD, blocks, mixed, table, word_lists
 
@@ -178,14 +178,16 @@ def detect(docs: DataFrame, shortest: int = 24, power: int = 3) -> DataFrame:
     if power < 3 or shortest < SCALE:
         raise ValueError(f"runs of at least 3 periods and {SCALE} words can be found")
     kept = [f for f in docs.schema.fields if f.name not in ADDED]
-    added = StructType.fromDDL(ADDED_TYPE).fields
+    numbered = StructType([StructField(f"c{k}", f.dataType, f.nullable) for k, f in enumerate(kept)])  # any name may have a dot
+    text = f"c{[f.name for f in kept].index('text')}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
-            runs, collapsed = runs_of_texts(block.column("text"), shortest, power)
+        for block in blocks(batches, text):
+            runs, collapsed = runs_of_texts(block.column(text), shortest, power)
             yield pa.RecordBatch.from_arrays([*block.columns, runs, collapsed], [*block.schema.names, *ADDED])
 
-    return docs.select(*(F.col(f"`{f.name}`") for f in kept)).mapInArrow(run, StructType([*kept, *added]))
+    plain = docs.select(*(F.col(f"`{f.name}`").alias(n.name) for f, n in zip(kept, numbered)))
+    return plain.mapInArrow(run, StructType([*numbered, *StructType.fromDDL(ADDED_TYPE)])).toDF(*(f.name for f in kept), *ADDED)
 
 
 def planted(docs: DataFrame) -> DataFrame:

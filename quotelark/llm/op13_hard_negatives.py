@@ -62,8 +62,8 @@ def usable(vectors: DataFrame, row: str, label: str, vector: str, scale: int) ->
 
 
 def measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a task: rows, greatest magnitude, and sums and sums of squares by dimension."""
-    n, most, sums, squares = 0, 0, np.zeros(0), np.zeros(0)
+    """One row a task: rows, greatest square of a length, and sums and sums of squares by dimension."""
+    n, most, sums, squares = 0, 0.0, np.zeros(0), np.zeros(0)
     for batch in batches:
         if batch.num_rows:
             x = filled(batch.column("vector")).astype(np.float64)
@@ -71,8 +71,8 @@ def measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums, squares = np.pad(sums, (0, wide - len(sums))), np.pad(squares, (0, wide - len(squares)))
             sums[: x.shape[1]] += x.sum(axis=0)
             squares[: x.shape[1]] += (x * x).sum(axis=0)
-            n, most = n + len(x), max(most, int(np.abs(x).max(initial=0)))
-    yield pa.RecordBatch.from_pydict({"n": [n], "most": [most], "sums": [sums.tolist()], "squares": [squares.tolist()]}, pa.schema([("n", pa.int64()), ("most", pa.int64()), ("sums", pa.list_(pa.float64())), ("squares", pa.list_(pa.float64()))]))
+            n, most = n + len(x), max(most, float((x * x).sum(axis=1).max(initial=0)))
+    yield pa.RecordBatch.from_pydict({"n": [n], "most": [most], "sums": [sums.tolist()], "squares": [squares.tolist()]}, pa.schema([("n", pa.int64()), ("most", pa.float64()), ("sums", pa.list_(pa.float64())), ("squares", pa.list_(pa.float64()))]))
 
 
 def filled(vectors: pa.Array, wide: int | None = None) -> np.ndarray:
@@ -116,14 +116,14 @@ class Shape:
 
     def __init__(self, rows: list):
         self.n = sum(r["n"] for r in rows)
-        self.most = max((r["most"] for r in rows), default=0)
+        self.most = max((r["most"] for r in rows), default=0.0)
         self.dims = max((len(r["sums"]) for r in rows), default=0)
         wide = lambda x: np.pad(np.array(x), (0, self.dims - len(x)))
         sums, squares = (sum((wide(r[c]) for r in rows), np.zeros(self.dims)) for c in ("sums", "squares"))
         self.mean = sums / max(self.n, 1)
         self.spread = np.sqrt(np.maximum(squares / max(self.n, 1) - self.mean**2, 0))
         self.axes = np.argsort(-self.spread, kind="stable")[:CURVE_DIMS]
-        reach = self.dims * self.most**2
+        reach = self.most * 1.001  # no sum of products goes beyond the square of the greatest length
         if reach >= 2**63:
             raise ValueError("scores of these vectors may leave 64 bits")
         self.exact = "float32" if reach < 2**24 else "float64" if reach < 2**53 else "int64"
@@ -150,7 +150,7 @@ def block_writer(folder: str, shape: Shape, every: int, wanted: int):
     """Sorted rows to one file of row groups; rows of two kinds: the file, and its anchors with a floor from their own block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("id", pa.int64()), ("label", pa.int64()), *((f"d{k}", pa.int64() if shape.most >= 2**31 else pa.int32()) for k in range(shape.dims))])
+        schema = pa.schema([("id", pa.int64()), ("label", pa.int64()), *((f"d{k}", pa.int64() if shape.most >= 2**60 else pa.int32()) for k in range(shape.dims))])
         kinds = pa.schema([("shelf", pa.int64()), ("uri", pa.string()), ("anchor", pa.int64()), ("label", pa.int64()), ("floor", pa.int64()), ("vector", pa.list_(pa.int64()))])
         shelf, uri, out, writer, held, size = TaskContext.get().partitionId(), None, None, None, [], 0
 
@@ -191,7 +191,7 @@ def block_writer(folder: str, shape: Shape, every: int, wanted: int):
 
 def scored(anchors: np.ndarray, rows: np.ndarray, exact: str) -> np.ndarray:
     """Inner products, exact as whole numbers."""
-    return np.rint(anchors.astype(exact) @ rows.astype(exact).T).astype(np.int64)
+    return (anchors.astype(exact) @ rows.astype(exact).T).astype(np.int64)
 
 
 class Blocks:
@@ -320,7 +320,7 @@ class Index:
     def __init__(self, rows: DataFrame, every: int, wanted: int, file_rows: int = FILE_ROWS):
         self.spark = rows.sparkSession
         rows = cut(rows)
-        self.shape = Shape(rows.mapInArrow(measures, "n long, most long, sums array<double>, squares array<double>").where("n > 0").collect())  # one row a task
+        self.shape = Shape(rows.mapInArrow(measures, "n long, most double, sums array<double>, squares array<double>").where("n > 0").collect())  # one row a task
         self.partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         files = max(self.partitions, -(-self.shape.n // file_rows))
         dealt = rows.mapInArrow(keyed(self.shape), "id long, label long, vector array<long>, key long").repartitionByRange(files, "key", "id").sortWithinPartitions("key", "id")
