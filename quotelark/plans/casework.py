@@ -9,7 +9,7 @@ from quotelark.operators import board as B
 from quotelark.operators import temporal as T
 from quotelark.operators.consensus import best_price, consensus, fair_by_book, leave_one_out, margins
 from quotelark.operators.gates import grade, reasons
-from quotelark.plans.registry import query, rounded
+from quotelark.plans.registry import mean_of_chances, query, rounded
 
 OUT = ("A", "N", "R")
 ONE = "*"
@@ -66,12 +66,12 @@ def snapshots(t):
 
 
 @query("x11_feature_table", "quotes fair bets history", """
-, m as (select market, avg(p) as market_p from fair group by market), b as (select event as market, avg(p) as model_p, max(y) as target from bets group by event), h as (select l_partkey as market, avg(l_quantity) as fundamentals from lineitem where l_linestatus = 'F' group by 1)
+, m as (select market, avg(p) as market_p from fair group by market), b as (select event as market, ((200 * sum(round(p * 10000)::bigint) + count(*)) // (2 * count(*))) / 1000000.0::double as model_p, max(y) as target from bets group by event), h as (select l_partkey as market, avg(l_quantity) as fundamentals from lineitem where l_linestatus = 'F' group by 1)
 select b.market, round(market_p, 6) as market_p, round(model_p, 6) as model_p, round(fundamentals, 6) as fundamentals, target, market_p is not null and fundamentals is not null as complete from b left join m using (market) left join h using (market)""")
 def features(t):
     """One row a match: market chances, fundamentals and target; `complete` is false where a piece is missing."""
     m = fair_by_book(t.quotes(), OUT).groupBy("market").agg(F.avg("p").alias("market_p"))
-    b = t.bets().groupBy(F.col("event").alias("market")).agg(F.avg("p").alias("model_p"), F.max("y").alias("target"))
+    b = t.bets().groupBy(F.col("event").alias("market")).agg(mean_of_chances("p").alias("model_p"), F.max("y").alias("target"))
     h = t.read("lineitem").where("l_linestatus = 'F'").groupBy(F.col("l_partkey").alias("market")).agg(F.avg("l_quantity").alias("fundamentals"))
     rows = b.join(m, "market", "left").join(h, "market", "left")
     return rounded(rows.select("market", "market_p", "model_p", "fundamentals", "target", (F.col("market_p").isNotNull() & F.col("fundamentals").isNotNull()).alias("complete")))

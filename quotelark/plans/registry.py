@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotelark.sources.driver_tables import Tables, with_ctes
@@ -28,3 +28,8 @@ def query(name: str, ctes: str = "", sql: str | None = None):
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     """All doubles rounded, so that the order of a sum doesn't show; a negative zero becomes zero."""
     return df.select(*[(F.round(c, places) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def mean_of_chances(p: str) -> Column:
+    """The mean of chances of four decimals, to six: whole numbers are summed and rounded once, so no order of a sum shows in a tie."""
+    return F.expr(f"(200 * sum(cast(round(`{p}` * 10000) as bigint)) + count(`{p}`)) div (2 * count(`{p}`))") / F.lit(1e6)

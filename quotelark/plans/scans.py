@@ -84,6 +84,11 @@ def scores_json(t):
     return S.scores(t.spark, stored(feed, "json"))
 
 
+def nearest_milli(ts: str):
+    """A time in whole milliseconds, the nearest."""
+    return F.floor((F.unix_micros(F.col(ts).cast("timestamp")) + 500) / 1000)
+
+
 def message_feed(t):
     """Events as exchange messages: one change each, a ladder of three numbers (two for an error), a definition on each view."""
     e = t.read("events")
@@ -91,7 +96,7 @@ def message_feed(t):
     change = F.struct((F.col("event_id") % 2).alias("id"), F.when(F.col("event_type") != "click", F.round(F.col("value") + 1, 4)).alias("ltp"), ladder.alias("batb"))
     definition = F.when(F.col("event_type") == "view", F.struct(F.col("event_id").cast("string").alias("eventId"), F.lit("OPEN").alias("status")))
     entry = F.struct(F.concat(F.lit("1."), "user_id").alias("id"), definition.alias("marketDefinition"), F.array(change).alias("rc"))
-    return e.select(F.unix_millis(F.col("ts").cast("timestamp")).alias("pt"), F.array(entry).alias("mc"))
+    return e.select(nearest_milli("ts").alias("pt"), F.array(entry).alias("mc"))
 
 
 @query("s6_message_scan", "", """
@@ -115,7 +120,7 @@ def compaction(t):
 select '1.' || user_id as market_id, (event_id % 2)::bigint as runner, round(value + 1, 4) as price, epoch_ms(ts) as at, row_number() over (partition by user_id, event_id % 2 order by epoch_ms(ts), round(value + 1, 4)) as nth from events where event_type <> 'click'""")
 def points(t):
     """Parallel arrays of prices and times, nulls among them, to price points in time order."""
-    e = t.read("events").select(F.concat(F.lit("1."), "user_id").alias("market_id"), (F.col("event_id") % 2).alias("runner"), F.when(F.col("event_type") != "click", F.round(F.col("value") + 1, 4)).alias("price"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+    e = t.read("events").select(F.concat(F.lit("1."), "user_id").alias("market_id"), (F.col("event_id") % 2).alias("runner"), F.when(F.col("event_type") != "click", F.round(F.col("value") + 1, 4)).alias("price"), nearest_milli("ts").alias("at"))
     arrays = e.groupBy("market_id", "runner").agg(F.collect_list(F.struct("price", "at")).alias("x")).select("market_id", "runner", F.col("x.price").alias("price"), F.col("x.at").alias("at"))
     return S.series(arrays, ["market_id", "runner"], "price", "at")
 
