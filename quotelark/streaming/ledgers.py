@@ -1,4 +1,4 @@
-"""Structured Streaming forms of the ledgers: bounded state, idempotent appends."""
+"""Structured Streaming forms of the ledgers: idempotent appends, upserts, joins and counters; state with an end is in state.py."""
 
 from __future__ import annotations
 
@@ -14,9 +14,9 @@ def read_files(spark: SparkSession, path: str, schema, files_per_batch: int = 10
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def latest_definitions(messages: DataFrame, key: str, at: str, fields: Sequence[str]) -> DataFrame:
-    """The last value of each field for each market (update mode): starts get revised."""
-    return messages.groupBy(key).agg(*[F.max_by(f, at).alias(f) for f in fields])
+def appended(rows: DataFrame, path: str, checkpoint: str):
+    """Everything that comes, as Parquet, each row once."""
+    return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def upserts(rows: DataFrame, path: str, checkpoint: str):
@@ -55,14 +55,29 @@ def quotes_before_start(entries: DataFrame, quotes: DataFrame, key: str, entry_t
     return a.join(b, (F.col("_key") == F.col(key)) & inside).drop("_key")
 
 
-def start_revisions(observations: DataFrame, key: str, observed: str, start: str, late: str = "1 day") -> DataFrame:
-    """The latest observed start and how many different ones were seen at that time."""
-    seen = observations.withWatermark(observed, late).groupBy(key).agg(F.max(F.struct(observed, start)).alias("x"), F.collect_set(F.struct(observed, start)).alias("all"))
-    ties = F.size(F.array_distinct(F.transform(F.filter("all", lambda o: o[observed] == F.col("x")[observed]), lambda o: o[start])))
-    return seen.select(key, F.col("x")[observed].alias(observed), F.when(ties == 1, F.col("x")[start]).alias(start), F.when(ties > 1, "CONFLICT").otherwise("OK").alias("status"))
+def captures(targets: DataFrame, quotes: DataFrame, key: str, start: str, ts: str, before: str = "10 minutes", late: str = "1 hour") -> DataFrame:
+    """Each target with its quotes of the last `before` its start; a target that gets none comes out with nulls.
 
+    A left outer stream-stream join: the range bounds the state of both sides, and a target without a match is given up, and put out,
+    once the watermark says that no quote of its range can come any more. `targets` and `quotes` share no other column name.
+    """
+    a = targets.withColumnRenamed(key, "_key").withWatermark(start, late)
+    b = quotes.withWatermark(ts, late)
+    inside = (F.col(ts) >= F.col(start) - F.expr(f"INTERVAL {before}")) & (F.col(ts) < F.col(start))
+    return a.join(b, (F.col("_key") == F.col(key)) & inside, "left_outer").drop(key).withColumnRenamed("_key", key)
 
-def counters(rows: DataFrame, ts: str, by: str, window: str = "1 day", slide: str | None = None, late: str = "1 day") -> DataFrame:
-    """Counts in tumbling or sliding windows; state older than the watermark is dropped."""
-    w = F.window(ts, window, slide) if slide else F.window(ts, window)
+
+def trailing(rows: DataFrame, ts: str, by: str, days: int, late: str = "1 day") -> DataFrame:
+    """(by, begin, n): rows of every `days` days in a row, in append mode: a window comes out once, when the watermark has passed it.
+
+    Rows are summed by day first, and only day sums meet the windows, so a row is counted into one bucket however long the windows.
+    """
+    day = rows.withWatermark(ts, late).groupBy(by, F.window(ts, "1 day").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    sliding = F.window(F.window_time("day"), f"{days} days", "1 day")
+    return day.groupBy(by, sliding.alias("w")).agg(F.sum("n").alias("n")).select(by, F.col("w.start").alias("begin"), "n")
+
+
+def counters(rows: DataFrame, ts: str, by: str, window: str = "1 day", offset: str = "0 days", late: str = "1 day") -> DataFrame:
+    """Counts in tumbling windows; state older than the watermark is dropped. Weeks from Monday have an offset of 4 days."""
+    w = F.window(ts, window, startTime=offset)
     return rows.withWatermark(ts, late).groupBy(by, w.alias("w")).agg(F.count(F.lit(1)).alias("n")).select(by, F.col("w.start").alias("begin"), "n")
