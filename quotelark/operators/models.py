@@ -109,6 +109,35 @@ def implied_rates(markets: DataFrame, keys: Sequence[str], steps: int, step: flo
     return markets.withColumn("best", best).select(*keys, F.col("best.h").alias("lambda_home"), F.col("best.a").alias("lambda_away"), F.col("best.e").alias("error"))
 
 
+def refined_rates(markets: DataFrame, keys: Sequence[str], steps: int, step: float, finer: int, line: float = 2.5, most: int = 10) -> DataFrame:
+    """implied_rates(), then a second grid, `finer` times as fine, over the cells about each market's best one; never worse than the first.
+
+    Single goal counts' chances for each fine rate, and their sums, are constants of the plan; a row looks through its own neighbourhood,
+    where three short dot products give a cell's chances.
+    """
+    n = (steps + 1) * finer
+    fine = [[math.exp(-m) * m**k / math.factorial(k) for k in range(most + 1)] for m in (i * step / finer for i in range(1, n + 1))]
+    sums = [[sum(row[: k + 1]) for k in range(most + 1)] for row in fine]
+    doubles = lambda rows: F.from_json(F.lit(json.dumps(rows)), "array<array<double>>")
+    pmf, cdf = doubles(fine), doubles(sums)
+    below = int(line)
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    first = implied_rates(markets, keys, steps, step, line, most).withColumnRenamed("error", "coarse_error")
+    rows = markets.join(first, list(keys)).withColumn("i0", F.round(F.col("lambda_home") / step * finer).cast("int")).withColumn("j0", F.round(F.col("lambda_away") / step * finer).cast("int"))
+    near = lambda c: F.sequence(F.greatest(F.col(c) - finer, F.lit(1)), F.least(F.col(c) + finer, F.lit(n)))
+    strictly = lambda c: F.concat(F.array(F.lit(0.0)), F.slice(c, 1, most))  # noqa: E731  chances of fewer goals
+
+    def cell(i, j):
+        a, b, ca, cb = F.get(pmf, i - 1), F.get(pmf, j - 1), F.get(cdf, i - 1), F.get(cdf, j - 1)
+        under = dot(F.slice(a, 1, below + 1), F.reverse(F.slice(cb, 1, below + 1)))
+        square = lambda x: x * x
+        error = square(dot(a, strictly(cb)) - F.col("p_home")) + square(dot(b, strictly(ca)) - F.col("p_away")) + square(F.get(ca, F.lit(most)) * F.get(cb, F.lit(most)) - under - F.col("p_over"))
+        return F.struct(error.alias("e"), i.alias("i"), j.alias("j"))
+
+    cells = F.flatten(F.transform(near("i0"), lambda i: F.transform(near("j0"), lambda j: cell(i, j))))
+    return rows.withColumn("best", F.array_min(cells)).select(*keys, (F.col("best.i") * step / finer).alias("lambda_home"), (F.col("best.j") * step / finer).alias("lambda_away"), F.col("best.e").alias("error"), "coarse_error")
+
+
 def replay_ratings(matches: DataFrame, pool: str, k: float = 20.0, start: float = 1500.0, home: float = 0.0) -> DataFrame:
     """Ratings of a and b before each match, replayed in order within each independent pool.
 
