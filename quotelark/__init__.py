@@ -1 +1,10 @@
-"""Spark-native analytics for market quotes, results and prediction ledgers."""
+"""Quote analytics and training-corpus operators on Spark.
+
+What runs inside Spark tasks is shipped by value, so executors need no copy of this package on their path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -8,6 +8,7 @@ from quotelark.operators.consensus import fair_by_book
 from quotelark.plans.registry import query, rounded
 from quotelark.scratch import new_path
 from quotelark.sinks import ledger as K
+from quotelark.sources import archives as A
 from quotelark.sources import files as S
 
 
@@ -296,3 +297,67 @@ def settle_only(t):
     b = t.bets().withColumn("status", F.when(F.col("season") < 1997, "SETTLED").otherwise("PENDING")).select("bet_id", "event", "status", "odds")
     o = t.bets().groupBy("event").agg(F.max("y").alias("w")).select("event", F.when(F.col("w") == 1, "WON").otherwise("LOST").alias("status"))
     return K.settle(b, o, "event", ["status"]).select("bet_id", "status", "odds")
+
+
+DAY_OF_MEMBER = r"^(?P<day>\d{4}-\d\d-\d\d)/"
+
+
+def market_archives(t):
+    """Events as exchange messages in archives of a week: a small compressed file for each market and day."""
+    lines = message_feed(t).select(F.col("mc")[0]["id"].alias("market"), F.timestamp_millis("pt").alias("at"), F.to_json(F.struct("pt", "mc")).alias("line"), "pt")
+    day = F.date_format("at", "yyyy-MM-dd")
+    named = lines.select(F.date_format(F.date_trunc("week", "at"), "yyyyMMdd").alias("archive"), F.concat(day, F.lit("/"), "market", F.lit(".bz2")).alias("member"), F.col("pt").alias("number"), "line")
+    return A.pack(named, new_path(t.spark))
+
+
+def archived_messages(lines):
+    return lines.where("error is null").select("day", "member", F.from_json("line", S.MESSAGES).alias("m")).select("day", "member", "m.pt", F.explode("m.mc").alias("c"))
+
+
+@query("s7_archive_compaction", "", """
+select strftime(make_timestamp(((epoch_us(ts) + 500) // 1000) * 1000), '%Y-%m-%d') || '/1.' || user_id || '.bz2' as member, count(*) as n_messages, count(*) filter (event_type <> 'click') as n_prices, max((epoch_us(ts) + 500) // 1000)::bigint as last_pt from events group by 1""")
+def archive_compaction(t):
+    """A summary of each file of the archives, which tasks read a packet of small files at a time."""
+    m = archived_messages(A.archive_lines(t.spark, market_archives(t), DAY_OF_MEMBER))
+    prices = F.aggregate("c.rc", F.lit(0), lambda n, r: n + r["ltp"].isNotNull().cast("int"))
+    return m.groupBy("member").agg(F.count(F.lit(1)).alias("n_messages"), F.sum(prices).alias("n_prices"), F.max("pt").alias("last_pt"))
+
+
+@query("k3_archive_days", "", """
+select strftime(make_timestamp(((epoch_us(ts) + 500) // 1000) * 1000), '%Y-%m-%d') as day, count(distinct user_id) as markets, count(*) as n_messages from events group by 1""")
+def archive_days(t):
+    """Days out of archives, each written once: a second run reads no file of the days that are there."""
+    archives, path = market_archives(t), new_path(t.spark)
+    for some in (archives[: len(archives) // 2], archives):
+        done = K.days_done(t.spark, path, "day")
+        m = archived_messages(A.archive_lines(t.spark, some, DAY_OF_MEMBER, done)).groupBy("day", "member").agg(F.count(F.lit(1)).alias("n_messages"))
+        K.write_days(m, path, "day")
+    return t.spark.read.schema("member string, n_messages long, day string").parquet(path).groupBy("day").agg(F.count_distinct("member").alias("markets"), F.sum("n_messages").alias("n_messages"))
+
+
+@query("d1_schema_drift", "", """
+with y as (select distinct year(o_orderdate)::int as season from orders), f as (select min(season) as first from y)
+select season, c as "column", case c when 'referee' then 'string' when 'goals' then 'string' end as kind, case c when 'referee' then 'ADDED' when 'goals' then 'RETYPED' else 'MISSING' end as status
+from y, f, (values ('referee'), ('goals'), ('clerk')) g(c) where (c = 'referee' and season >= first + 2) or (c = 'goals' and season >= first + 3) or (c = 'clerk' and season >= first + 4)""")
+def schema_drift(t):
+    """Seasons whose files name other columns than the first one's, or give them another type; only footers are read."""
+    o, path = t.read("orders").withColumn("season", F.year("o_orderdate")), new_path(t.spark)
+    seasons = sorted(r[0] for r in o.select("season").distinct().collect())  # a row a season
+    for k, season in enumerate(seasons):
+        goals = (F.col("o_custkey") % 7).cast("string" if k >= 3 else "long").alias("goals")
+        columns = ["o_orderkey", goals, *([F.lit("r").alias("referee")] if k >= 2 else []), *([F.col("o_clerk").alias("clerk")] if k < 4 and "o_clerk" in o.columns else [F.lit("c").alias("clerk")] if k < 4 else [])]
+        o.where(F.col("season") == season).select(*columns).write.parquet(f"{path}/season={season}")
+    found = A.declared_columns(t.spark, path).withColumn("season", F.regexp_extract("file", r"season=(\d+)", 1).cast("int"))
+    return A.schema_drift(found, "season").select("season", "column", F.when(F.col("status") != "MISSING", F.col("kind")).alias("kind"), "status")
+
+
+@query("d1_season_coverage", "", """
+select year(o_orderdate)::int as season, count(*) as matches, round(count(*) filter (o_orderstatus <> 'P') / count(*), 6) as with_goals, round(count(*) filter (o_custkey % 3 = 0) / count(*), 6) as ranked, count(distinct o_orderdate::date) as days,
+  max(o_orderdate)::date - min(o_orderdate)::date + 1 - count(distinct o_orderdate::date) as silent_days, count(*) filter (o_orderpriority like '5%') as retired from orders group by 1""")
+def coverage(t):
+    """By season: matches, shares with goals and with a ranking, days without any match, retirements."""
+    o, n = t.read("orders").withColumn("day", F.to_date("o_orderdate")), F.count(F.lit(1))
+    return rounded(o.groupBy(F.year("day").alias("season")).agg(
+        n.alias("matches"), (F.count_if(F.col("o_orderstatus") != "P") / n).alias("with_goals"), (F.count_if(F.col("o_custkey") % 3 == 0) / n).alias("ranked"), F.count_distinct("day").alias("days"),
+        (F.datediff(F.max("day"), F.min("day")) + 1 - F.count_distinct("day")).alias("silent_days"), F.count_if(F.col("o_orderpriority").startswith("5")).alias("retired"),
+    ))

@@ -41,6 +41,16 @@ def upgraded_ids(rows: DataFrame, ledger: DataFrame, key: str, validated: str) -
     return out.join(ledger.select(key), key, "left_anti")
 
 
+def days_done(spark: SparkSession, path: str, day: str) -> list[str]:
+    """The days that write_days() has finished, from the names of their folders."""
+    try:
+        return sorted(r[0] for r in spark.read.parquet(path).select(F.col(day).cast("string")).distinct().collect())  # a row a day
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return []
+
+
 def write_days(rows: DataFrame, path: str, day: str) -> list:
     """Writes days that aren't there, each as a whole partition; returns them. Finished days are left alone."""
     spark = rows.sparkSession
