@@ -112,3 +112,14 @@ def chronology_violations(rows: DataFrame, by: str, at: str, seq: str) -> DataFr
     """Rows whose time is before that of the row ahead of them in sequence."""
     w = W.partitionBy(by).orderBy(seq)
     return rows.withColumn("before", F.lag(at).over(w)).where(F.col(at) < F.col("before"))
+
+
+def window_violations(rows: DataFrame, as_of: str, dates: str) -> DataFrame:
+    """Rows whose window (an array of dates) holds the as-of date or a later one, with the first such date."""
+    late = F.array_min(F.filter(dates, lambda d: d >= F.col(as_of)))
+    return rows.withColumn("violation", late).where("violation is not null")
+
+
+def test_period_violations(development: DataFrame, day: str, start: str) -> DataFrame:
+    """Development rows that lie in the test period."""
+    return development.where(F.col(day) >= F.lit(start).cast("date"))
