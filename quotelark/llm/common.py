@@ -47,6 +47,13 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int =
             at = end
 
 
+def filtered(df: DataFrame, function) -> DataFrame:
+    """df with the rows that `function` (batches to batches) keeps; it sees the column text by its name and all others by number, as
+    names with a dot can't go through it."""
+    plain = df.select(*(F.col(f"`{c}`").alias(c if c == "text" else f"c{k}") for k, c in enumerate(df.columns)))
+    return plain.mapInArrow(function, plain.schema).toDF(*df.columns)
+
+
 def word_lists(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
     """The words of all texts in one array, and where each text's words begin and end in it."""
     flat = pc.fill_null(texts, "")

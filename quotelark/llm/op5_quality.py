@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelark.llm.common import blocks, held, mixed, table, word_hashes, word_lists
+from quotelark.llm.common import blocks, filtered, held, mixed, table, word_hashes, word_lists
 from quotelark.llm.op3_toxicity import sample
 
 #: Labelled documents of each class that are broadcast, at most (with RANK floats each, under 2 MB).
@@ -143,6 +143,14 @@ def fit(docs: DataFrame, labels: DataFrame, sizes: dict[int, int] | None = None)
     return Model(weights, basis, unit(x @ basis), labels_)
 
 
+def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k greatest of each row, in order; of equal ones at the end the first places."""
+    last = -np.partition(-cosine, k - 1, axis=1)[:, k - 1 : k]
+    above, tied = cosine > last, cosine == last
+    taken = above | tied & (np.cumsum(tied, axis=1) <= k - above.sum(1, keepdims=True))
+    return np.nonzero(taken)[1].reshape(-1, k)
+
+
 def votes(got: np.ndarray, model: Model) -> np.ndarray:
     """The weighted share of label 1 among the K nearest labelled vectors of each row."""
     y = model.labels
@@ -150,7 +158,7 @@ def votes(got: np.ndarray, model: Model) -> np.ndarray:
     balance = np.where(y > 0, 0.5 / max(good, 1), 0.5 / max(len(y) - good, 1)).astype(np.float32)
     cosine = unit(weighted(got, model.idf) @ model.basis) @ model.vectors.T
     k = min(K, len(y))
-    near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+    near = nearest(cosine, k)
     weight = np.maximum(np.take_along_axis(cosine, near, 1), 1e-3) ** SHARPNESS * balance[near]
     return np.clip((weight * y[near]).sum(1) / weight.sum(1), 0, 1).astype(float)
 
@@ -182,7 +190,7 @@ def decide(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> Data
             score = votes(counts(block.column("text"), table_), model) if model else np.ones(block.num_rows)
             yield block.filter(pa.array(score >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return filtered(docs, run)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,10 @@ Both sides are reduced to lower-case words of letters and digits with single spa
 e = floor(share x m) edits; it is split into e + 1 pieces, so a passage within e edits holds one piece unchanged. One
 Aho-Corasick pass over a document finds all exact piece hits; Myers' bit-parallel distance then verifies the text about each.
 
-An item of under `min_chars` characters would be alike to ordinary prose, so it has no edit budget and is found only as whole words.
+An item of under `min_chars` characters would be alike to ordinary prose, so it has no edit budget and is found only as whole words. An
+item without letters and digits is looked for as it stands, between blanks, in the text with single blanks, where its span lies too.
 
-Nulls, ties and odd input: null or empty texts and items match nothing; repeated documents and items are each reported; of the
+Nulls, ties and odd input: null, empty or blank texts and items match nothing; repeated documents and items are each reported; of the
 passages of one item in a document the first of the least distance is; a very long text is scanned whole, in a block of its own;
 an empty table gives an empty result. find_leaks() has columns of its own only, and decontaminate() judges each row where it
 lies, so null or shared ids and clashing names don't matter.
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelark.llm.common import blocks, table
+from quotelark.llm.common import blocks, filtered, table
 
 SCHEMA = "doc_id long, item_id long, distance int, begin int, end int"
 #: Characters of test items in one automaton, the most that the driver holds and an executor is sent at once.
@@ -34,6 +35,11 @@ def reduced(text: str | None) -> str:
     return " ".join(_WORDS.findall(text.lower())) if text else ""
 
 
+def spaced(text: str | None) -> str:
+    """The text as it stands, with single blanks."""
+    return " ".join(text.split()) if text else ""
+
+
 def pieces(item: str, edits: int) -> list[tuple[int, str]]:
     """(begin, piece) for edits + 1 pieces of nearly equal length."""
     marks = [len(item) * k // (edits + 1) for k in range(edits + 2)]
@@ -122,29 +128,59 @@ def leaks(text: str, items: list[tuple[int, str]], auto, min_chars: int) -> list
     return out
 
 
-def item_blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The reduced items in blocks of bounded size; the driver holds one block at a time."""
-    block, size = [], 0
+class Items:
+    """A block of test items: reduced ones, and those that reducing would empty, as they stand."""
+
+    def __init__(self):
+        self.reduced: list[tuple[int, str]] = []
+        self.signs: list[tuple[int, str]] = []
+        self.chars = 0
+
+    def add(self, item_id: int, text: str) -> None:
+        item = reduced(text)
+        rest = "" if item else spaced(text)
+        if item:
+            self.reduced.append((item_id, item))
+        elif rest:
+            self.signs.append((item_id, rest))
+        self.chars += len(item) + len(rest)
+
+
+class Finder:
+    """The automata of a block of items; a task builds them once."""
+
+    def __init__(self, items: Items, share: float, min_chars: int):
+        self.items, self.min_chars = items, min_chars
+        self.words = automaton(items.reduced, share, min_chars) if items.reduced else None
+        self.signs = automaton(items.signs, 0.0, min_chars) if items.signs else None
+
+    def hits(self, text: str | None) -> list[tuple[int, int, int, int]]:
+        if not text:
+            return []
+        found = leaks(reduced(text), self.items.reduced, self.words, self.min_chars) if self.words else []
+        if self.signs:
+            found += leaks(spaced(text), self.items.signs, self.signs, 1 << 60)
+        return found
+
+
+def item_blocks(items: DataFrame) -> Iterator[Items]:
+    """The items in blocks of bounded size; the driver holds one block at a time."""
+    block = Items()
     for row in items.select("item_id", "text").where("text is not null").toLocalIterator():
-        item = reduced(row["text"])
-        if not item:
-            continue
-        if block and size + len(item) > ITEM_CHARS:
+        if block.chars and block.chars + len(row["text"]) > ITEM_CHARS:
             yield block
-            block, size = [], 0
-        block.append((row["item_id"], item))
-        size += len(item)
+            block = Items()
+        block.add(row["item_id"], row["text"])
     yield block
 
 
-def scan(items: list[tuple[int, str]], share: float, min_chars: int):
+def scan(items: Items, share: float, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = automaton(items, share, min_chars) if items else None
+        finder = Finder(items, share, min_chars)
         for block in blocks(batches):
             rows = []
             for doc_id, text in zip(block.column("doc_id").to_pylist(), block.column("text").to_pylist()):
-                if auto is not None and text:
-                    rows += [(doc_id, *x) for x in leaks(reduced(text), items, auto, min_chars)]
+                rows += [(doc_id, *x) for x in finder.hits(text)]
             cols = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))],
@@ -154,11 +190,11 @@ def scan(items: list[tuple[int, str]], share: float, min_chars: int):
     return run
 
 
-def clean(items: list[tuple[int, str]], share: float, min_chars: int):
+def clean(items: Items, share: float, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = automaton(items, share, min_chars) if items else None
+        finder = Finder(items, share, min_chars)
         for block in blocks(batches):
-            yield block.filter(pa.array([auto is None or not t or not leaks(reduced(t), items, auto, min_chars) for t in block.column("text").to_pylist()], pa.bool_()))
+            yield block.filter(pa.array([not finder.hits(t) for t in block.column("text").to_pylist()], pa.bool_()))
 
     return run
 
@@ -179,7 +215,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = 0.05, min_chars
 def decontaminate(docs: DataFrame, items: DataFrame, share: float = 0.05, min_chars: int = 40) -> DataFrame:
     """docs without those that hold a test item; all columns stay. Each block of items is one pass over what the last one left."""
     for block in item_blocks(items):
-        docs = docs.mapInArrow(clean(block, share, min_chars), docs.schema)
+        docs = filtered(docs, clean(block, share, min_chars))
     return docs
 
 

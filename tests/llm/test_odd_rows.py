@@ -211,3 +211,23 @@ def test_pipeline_stages_on_no_rows(spark):
     for name, stage in corpus_pipeline.STAGES:
         got = stage(spark, docs.where("doc_id < 0"), "/root/testdata/sf0.001")
         assert got.count() == 0 and set(docs.columns) <= set(got.columns), name
+
+
+def test_op9_items_without_letters(spark):
+    items = spark.createDataFrame([(1, "∑∫≠"), (2, "**  %% "), (3, " \t"), (4, None), (5, "...")], "item_id long, text string")
+    texts = ["see ∑∫≠ here", "a∑∫≠b", "x **\n%% y", "wait ... what", "fine...", "∑∫≠"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("a.b", F.lit(1))
+    assert sorted((r.doc_id, r.item_id, r.begin, r.end) for r in op9.find_leaks(docs, items).collect()) == [(0, 1, 4, 7), (2, 2, 2, 7), (3, 5, 5, 8), (5, 1, 0, 3)]
+    left = op9.decontaminate(docs, items)
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [1, 4]
+
+
+def test_op5_ties_go_by_order_and_dotted_names_stay(spark, odd):
+    rng = np.random.default_rng(1)
+    cosine = rng.integers(0, 4, (50, 40)).astype(np.float32)
+    for k in (1, 7, 25, 40):
+        want = [sorted(np.lexsort((np.arange(40), -row))[:k]) for row in cosine]
+        assert op5.nearest(cosine, k).tolist() == [list(map(int, w)) for w in want]
+    dotted = odd.withColumn("a.b", F.lit(1))
+    kept = op5.decide(dotted, op5.fit(odd, labels(spark)))
+    assert kept.columns == dotted.columns and kept.count() == odd.count()
