@@ -1,5 +1,9 @@
 """A training corpus from raw documents: five stages, each written as Parquet and read again as the next one's documents.
 
+Stages judge texts, so nulls in other columns, ids that are null or shared, repeated rows and further columns of any name change nothing
+and stay. Null and empty texts are neither bad nor toxic nor leaks; as near copies of each other one of them stays; mixing takes it by its
+source's rate. Very long texts are read whole; empty tables give empty ones. Each operator's docstring has its own cases.
+
 All stages but the last return the columns of `documents`. Stages don't see each other's lineage, so a lost executor repeats
 work of one stage only.
 """

@@ -1,4 +1,9 @@
-"""Connected components of a link table, as repeated joins."""
+"""Connected components of a link table, as repeated joins.
+
+Nulls, ties and odd input: links are of whole numbers without nulls, as the operators number what they link; a link that is repeated,
+turned about or of a node with itself counts once; a node without a link isn't in the result; an empty table gives an empty
+result. Only a and b are read, so other names can't clash.
+"""
 
 from __future__ import annotations
 

@@ -231,3 +231,25 @@ def test_op5_ties_go_by_order_and_dotted_names_stay(spark, odd):
     dotted = odd.withColumn("a.b", F.lit(1))
     kept = op5.decide(dotted, op5.fit(odd, labels(spark)))
     assert kept.columns == dotted.columns and kept.count() == odd.count()
+
+
+def test_pipeline_on_odd_rows(spark, odd):
+    import corpus_pipeline
+
+    docs = corpus_pipeline.cut(odd.withColumn("a.b", F.lit("dot")))
+    for name, stage in corpus_pipeline.STAGES:
+        got = corpus_pipeline.cut(stage(spark, docs, "/root/testdata/sf0.001"))
+        assert set(docs.columns) - {"size"} <= set(got.columns) and (name == "mixing" or got.columns == docs.columns), name
+        assert name in ("mixing", "near_copies") or got.where("doc_id is null or doc_id in (3, 4, 10)").count() >= min(3, docs.where("doc_id is null or doc_id in (3, 4, 10)").count()), name
+        docs = got
+    texts = [r.text for r in docs.collect()]
+    assert len(set(texts)) <= 9 and all(r["a.b"] == "dot" for r in docs.collect())
+
+
+def test_samples_are_bounded_where_rows_share_an_id(spark):
+    docs = spark.createDataFrame([(7, f"text {k % 500}") for k in range(3000)] + [(k, "same") for k in range(100, 130)], "doc_id long, text string")
+    given = labels(spark, [(7, 1, 1)] + [(k, 0, 0) for k in range(100, 130)])
+    for column in ("toxic", "quality"):
+        got = op3.sample(docs, given, column, {1: 10, 0: 20}).collect()
+        assert sum(r.label == 1 for r in got) == 10 == len({r.text for r in got if r.label == 1}) and sum(r.label == 0 for r in got) == 20
+        assert {(r.doc_id, r.text) for r in got} == {(r.doc_id, r.text) for r in op3.sample(docs.repartition(7), given, column, {1: 10, 0: 20}).collect()}
