@@ -58,25 +58,34 @@ def group_rank(rows: DataFrame, by: Sequence[str], order: Sequence[Column]) -> D
     return ranked.join(same, reduce(Column.__and__, on)).withColumn("rank", F.col("rank") - F.col("_first")).drop("_first", *[f"_{c}" for c in by])
 
 
-def percentiles(rows: DataFrame, by: Sequence[str], value: str, shares: Sequence[float], buckets: int = 1024) -> DataFrame:
-    """(by, q: array): exact interpolated percentiles of few groups, however large.
+def prior_sums(values: DataFrame, by: Sequence[str], order: Sequence[str], weight: str) -> DataFrame:
+    """values with `before`: the sum of `weight` over all rows of the group ahead in `order`.
 
-    Values are counted first, then placed in buckets of equal width; sums by bucket tell which buckets hold the wanted ranks, and
-    only these are sorted. No task holds a group.
+    Rows are dealt by ranges of (by, order), which are cut by a sample of them, so neither a large group nor a far value fills a task; sums run
+    within a range, and each range's start comes from the sums of those ahead, a row for each range and group.
     """
-    counts = cut(rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
-    span = counts.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))  # a row a group
-    place = F.coalesce(F.least(F.floor(F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * buckets), F.lit(buckets - 1)), F.lit(0))
-    placed = counts.join(span, list(by)).withColumn("_b", place)
-    sums = placed.groupBy(*by, "_b").agg(F.sum("_c").alias("_m"))
-    before = sums.withColumn("_before", F.sum("_m").over(W.partitionBy(*by).orderBy("_b")) - F.col("_m"))  # at most `buckets` rows a group
+    ranged = cut(values.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
+    sums = ranged.groupBy(*by, "_part").agg(F.sum(weight).alias("_sum"))
+    ahead = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = sums.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_part").alias("_of"), F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_start"))
+    within = W.partitionBy(*by, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    on = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], F.col("_part") == F.col("_of"))
+    placed = ranged.withColumn("_within", F.coalesce(F.sum(weight).over(within), F.lit(0))).join(starts, on)
+    return placed.withColumn("before", F.col("_start") + F.col("_within")).drop("_part", "_of", "_start", "_within", *[f"_{c}" for c in by])
+
+
+def percentiles(rows: DataFrame, by: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """(by, q: array): exact interpolated percentiles of few groups, however large and however their values lie.
+
+    Values are counted first; counts ahead of each value (prior_sums) tell which values hold the wanted ranks.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    run = cut(prior_sums(counts, by, ["_v"], "_c"))
+    sizes = run.groupBy(*by).agg(F.sum("_c").alias("_n"))  # a row a group
     at = lambda q: F.lit(q) * (F.col("_n") - 1)
     ranks = F.array(*[F.struct(F.lit(k).alias("k"), r.alias("r"), w.alias("w")) for k, q in enumerate(shares) for r, w in ((F.floor(at(q)), 1 - (at(q) - F.floor(at(q)))), (F.floor(at(q)) + 1, at(q) - F.floor(at(q))))])
-    asks = span.select(*by, F.explode(ranks).alias("a")).select(*by, "a.k", "a.r", "a.w").where("w > 0")
-    need = before.join(asks, list(by)).where("_before <= r and r < _before + _m").select(*by, "_b", "_before", "k", "r", "w")
-    some = placed.join(need.select(*by, "_b", "_before").distinct(), [*by, "_b"])
-    run = some.withColumn("_from", F.col("_before") + F.sum("_c").over(W.partitionBy(*by, "_b").orderBy("_v")) - F.col("_c"))
-    hit = run.join(need.drop("_before"), [*by, "_b"]).where("_from <= r and r < _from + _c")
+    asks = sizes.select(*by, F.explode(ranks).alias("a")).select(*by, "a.k", "a.r", "a.w").where("w > 0")
+    hit = run.join(asks, list(by)).where("before <= r and r < before + _c")
     one = hit.groupBy(*by, "k").agg(F.sum(F.col("w") * F.col("_v")).alias("x"))
     return one.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("q"))
 
@@ -105,14 +114,11 @@ def expected_calibration_error(table: DataFrame) -> DataFrame:
 
 
 def auc(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Area under the curve by average ranks. Rows are first counted by distinct p, so the window runs over values, not rows."""
+    """Area under the curve by average ranks. Rows are counted by distinct p, and counts ahead of each are summed by ranges."""
     values = rows.groupBy(*by, "p").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))
-    w = W.partitionBy(*by).orderBy("p").rowsBetween(W.unboundedPreceding, -1)
-    mid = F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2
-    ranked = values.withColumn("ranks", mid * F.col("pos"))
+    ranked = prior_sums(values, by, ["p"], "n").withColumn("ranks", (F.col("before") + (F.col("n") + 1) / 2) * F.col("pos"))
     pos, all_ = F.sum("pos"), F.sum("n")
-    got = ranked.groupBy(*by).agg(((F.sum("ranks") - pos * (pos + 1) / 2) / (pos * (all_ - pos))).alias("auc"))
-    return got
+    return ranked.groupBy(*by).agg(((F.sum("ranks") - pos * (pos + 1) / 2) / (pos * (all_ - pos))).alias("auc"))
 
 
 def cohens_d(value: Column, good: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
@@ -89,6 +90,14 @@ def walk_forward(rows: DataFrame, season: str) -> DataFrame:
     return rows.join(F.broadcast(fitted), F.col(season) == F.col("fold")).withColumn("model_p", sigmoid(x)).drop("fold", "intercept", "slope")
 
 
+def expanding_folds(rows: DataFrame, season: str, fit, least: int = 1) -> DataFrame:
+    """Rows of every season that has at least `least` earlier ones, as fit(train, test) returns them, pooled: train is all earlier seasons."""
+    seasons = [r[0] for r in rows.select(season).distinct().orderBy(season).collect()]  # a row a season
+    rows = cut(rows)
+    folds = [fit(rows.where(F.col(season) < s), rows.where(F.col(season) == s)) for s in seasons[least:]]
+    return reduce(DataFrame.unionByName, folds) if folds else fit(rows, rows.where(F.lit(False)))
+
+
 def implied_rates(markets: DataFrame, keys: Sequence[str], steps: int, step: float, line: float = 2.5, most: int = 10) -> DataFrame:
     """(keys, lambda_home, lambda_away, error): the grid's rates whose Poisson chances are nearest to p_home, p_away and p_over.
 

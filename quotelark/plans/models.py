@@ -137,7 +137,7 @@ def stream_append(t):
     where = new_path(t.spark)
     events = t.read("events")
     keyed = S.read_files(t.spark, f"{t.dir}/events.parquet*", events.schema).select("user_id", "event_type", F.date_trunc("day", "ts").cast("timestamp").alias("day"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
-    S.append_to_ledger(keyed, f"{where}/rows", ["user_id", "event_type", "day"], ["event_id"], f"{where}/state").awaitTermination()
+    S.append_to_ledger(keyed, f"{where}/rows", ["user_id", "event_type", "day"], ["event_id"], f"{where}/state", "day").awaitTermination()
     return read(t.spark, f"{where}/rows", keyed.schema).select("user_id", "event_type", "day", "event_id")
 
 

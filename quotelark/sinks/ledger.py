@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,15 +22,26 @@ def read(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def append_unique(rows: DataFrame, path: str, key: Sequence[str], order: Sequence[str]) -> int:
-    """Appends rows whose key the ledger hasn't; of rows with one key the first by `order`. First write wins; returns rows added."""
+def append_unique(rows: DataFrame, path: str, key: Sequence[str], order: Sequence[str], within: str | None = None) -> int:
+    """Appends rows whose key the ledger hasn't; of rows with one key the first by `order`. First write wins; returns rows added.
+
+    within: a column of the key (a day, say) whose values partition the ledger. An append then reads the keys of its own values'
+    folders only, so its cost goes with what it brings and not with the ledger's age.
+    """
     spark = rows.sparkSession
-    first = rows.withColumn("_r", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where("_r = 1").drop("_r")
-    new = first.join(read(spark, path, rows.schema).select(*key), list(key), "left_anti").select(*rows.columns).persist()
+    first = rows.withColumn("_r", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where("_r = 1").drop("_r").persist()
+    held = read(spark, path, rows.schema).select(*key)
+    if within:
+        values = [r[0] for r in first.select(within).distinct().collect()]  # a row a folder that the rows touch
+        known = [v for v in values if v is not None]
+        held = held.where(F.col(within).isin(known) | (F.col(within).isNull() if len(known) < len(values) else F.lit(False)))
+    same = [first[k].eqNullSafe(held[k]) for k in key]
+    new = first.join(held, reduce(Column.__and__, same), "left_anti").select(*rows.columns).persist()
     added = new.count()
     if added:
-        new.write.mode("append").parquet(path)
+        (new.write.partitionBy(within) if within else new.write).mode("append").parquet(path)
     new.unpersist()
+    first.unpersist()
     return added
 
 

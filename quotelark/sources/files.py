@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quotelark.sources.archives import opened
+
 LONG_ODDS = "market_id string, event string, selection string, bookmaker string, decimal_odds double"
 EXCHANGE = "market_id string, exchange string, selection string, decimal_odds double, available_size_gbp double, commission double"
 ODDS_FEED = (
@@ -91,8 +95,22 @@ def price_points(index: DataFrame) -> DataFrame:
 
 
 def manifest(spark: SparkSession, path: str, name: str = "([^/]+)$") -> DataFrame:
-    """Name (a part of the path), size and SHA-256 of raw files."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.regexp_extract("path", name, 1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    """Name (a part of the path), size and SHA-256 of raw files. Tasks hash them a megabyte at a time, so a file may have any size."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")  # a listing; no content
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            digests = []
+            for uri in frame["path"]:
+                digest = hashlib.sha256()
+                with opened(uri) as stream:
+                    while block := stream.read(1 << 20):
+                        digest.update(block)
+                digests.append(digest.hexdigest())
+            yield frame.assign(sha256=digests)
+
+    spread = files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return spread.mapInPandas(run, "path string, length long, sha256 string").select(F.regexp_extract("path", name, 1).alias("name"), F.col("length").alias("size"), "sha256")
 
 
 def manifest_check(found: DataFrame, frozen: DataFrame) -> DataFrame:

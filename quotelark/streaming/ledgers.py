@@ -42,9 +42,12 @@ def scan_records(rows: DataFrame, path: str, checkpoint: str, scan: str, ts: str
     return rows.writeStream.foreachBatch(record).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def append_to_ledger(rows: DataFrame, path: str, key: Sequence[str], order: Sequence[str], checkpoint: str):
-    """Appends each key once. The ledger's anti-join admits keys, however late their rows are; no state is kept, so none is lost."""
-    return rows.writeStream.foreachBatch(lambda batch, _: append_unique(batch, path, key, order) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def append_to_ledger(rows: DataFrame, path: str, key: Sequence[str], order: Sequence[str], checkpoint: str, within: str | None = None):
+    """Appends each key once. The ledger's anti-join admits keys, however late their rows are; no state is kept, so none is lost.
+
+    within: the key's column that partitions the ledger, so that a micro-batch reads the folders of its own values only.
+    """
+    return rows.writeStream.foreachBatch(lambda batch, _: append_unique(batch, path, key, order, within) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def quotes_before_start(entries: DataFrame, quotes: DataFrame, key: str, entry_ts: str, start_ts: str, quote_ts: str, late: str = "1 hour", horizon: str = "7 days") -> DataFrame:

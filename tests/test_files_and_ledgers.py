@@ -113,6 +113,19 @@ def test_settlement(spark):
     assert [tuple(r) for r in L.settle(bets, outcome, "card", ["status", "profit"]).orderBy("card").collect()] == [(1, "LOST", -1.0), (2, "WON", 5.0)]
 
 
+def test_append_reads_the_folders_of_its_own_days(spark, tmp_path):
+    schema, path = "day date, k string, n int", str(tmp_path / "ledger")
+    d = lambda k: TS(2024, 1, k).date()
+    assert L.append_unique(spark.createDataFrame([(d(1), "a", 1), (d(2), "a", 2), (d(2), "b", 3), (None, "z", 4)], schema), path, ["day", "k"], ["n"], "day") == 4
+    (tmp_path / "ledger" / "day=2024-01-01").rename(tmp_path / "moved")  # a day that the next append has no business with
+    more = [(d(2), "b", 0), (d(2), "c", 9), (d(2), "c", 5), (None, "z", 0), (d(3), "a", 7)]
+    assert L.append_unique(spark.createDataFrame(more, schema), path, ["day", "k"], ["n"], "day") == 2
+    got = {(r.day, r.k): r.n for r in L.read(spark, path, schema).collect()}
+    assert got == {(d(2), "a"): 2, (d(2), "b"): 3, (None, "z"): 4, (d(2), "c"): 5, (d(3), "a"): 7}
+    held = L.read(spark, path, schema).where(F.col("day").isin([d(2)])).select("day", "k")
+    assert "PartitionFilters: [day" in held._jdf.queryExecution().toString()
+
+
 def test_canonical_id_upgrade(spark):
     ledger = spark.createDataFrame([("p1", False), ("p2", True)], "id string, validated boolean")
     rows = spark.createDataFrame([("p1", True), ("p2", True), ("p3", True)], "id string, validated boolean")

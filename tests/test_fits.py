@@ -39,6 +39,25 @@ def test_ridge_logistic(spark, bets):
     assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-3
 
 
+def test_logistic_on_expanding_folds(spark, bets):
+    want = {}
+    for season in sorted(bets.season.unique())[2:]:
+        train, test = bets[bets.season < season], bets[bets.season == season]
+        x, z = design(train, test, ["p", "odds"])
+        y, w, ridge = train.y.to_numpy(float), np.zeros(3), np.diag([0.01, 0.01, 0.0])
+        for _ in range(30):
+            q = 1 / (1 + np.exp(-x @ w))
+            w = w - np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x / len(x) + ridge, x.T @ (q - y) / len(x) + ridge @ w)
+        want |= dict(zip(test.bet_id, 1 / (1 + np.exp(-z @ w))))
+    got = {r.bet_id: r.p_model for r in catalog.QUERIES["m1_expanding_folds"](spark, DIR).collect()}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-3
+    pooled = {r.model: r for r in catalog.QUERIES["m5_models_on_folds"](spark, DIR).collect()}
+    y = dict(zip(bets.bet_id, bets.y))
+    assert {r.n for r in pooled.values()} == {len(want)} and pooled["fitted"].brier == pytest.approx(np.mean([(p - y[k]) ** 2 for k, p in want.items()]), abs=1e-4)
+    sums = [r.p_a + r.p_n + r.p_r for r in catalog.QUERIES["m2_multinomial_folds"](spark, DIR).collect()]
+    assert len(sums) == len(want) and max(abs(s - 1) for s in sums) < 1e-5
+
+
 def test_multinomial(spark, bets):
     train, test = bets[bets.season < 1999], bets[bets.season >= 1999]
     x, z = design(train, test, ["p", "odds"])
@@ -101,6 +120,8 @@ def test_percentiles_and_ranks(spark):
     got = {r.g: r.q for r in percentiles(df, ["g"], "v", [0.0, 0.1, 0.5, 1.0]).collect()}
     for g in "abc":
         assert got[g] == pytest.approx(np.quantile([v for k, v in rows if k == g and v is not None], [0.0, 0.1, 0.5, 1.0]))
+    far = spark.createDataFrame([("a", float(k)) for k in range(3000)] + [("a", 1e15)], "g string, v double").repartition(4)
+    assert percentiles(far, ["g"], "v", [0.5, 1.0]).first().q == [1500.0, 1e15]
     ranked = group_rank(df.where("v is not null"), ["g"], [F.col("v")]).orderBy("g", "rank").collect()
     assert [r.rank for r in ranked] == [*range(500), *range(40), 0] and all(a.v <= b.v for a, b in zip(ranked, ranked[1:]) if a.g == b.g)
 
