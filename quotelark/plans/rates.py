@@ -12,7 +12,7 @@ from quotelark.operators import models as M
 from quotelark.plans.models import FOLD_FITS, MODELS, _long
 from quotelark.plans.registry import query, rounded
 
-ONE = F.lit(1)
+ONE = "*"
 
 
 @query("a28_sign_share", "bets", """
