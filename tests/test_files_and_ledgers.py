@@ -123,7 +123,7 @@ def test_append_reads_the_folders_of_its_own_days(spark, tmp_path):
     got = {(r.day, r.k): r.n for r in L.read(spark, path, schema).collect()}
     assert got == {(d(2), "a"): 2, (d(2), "b"): 3, (None, "z"): 4, (d(2), "c"): 5, (d(3), "a"): 7}
     held = L.read(spark, path, schema).where(F.col("day").isin([d(2)])).select("day", "k")
-    assert "PartitionFilters: [day" in held._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(day" in held._jdf.queryExecution().toString()
 
 
 def test_canonical_id_upgrade(spark):
