@@ -48,7 +48,7 @@ def shingles(text):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.execute(f"create view {t} as select * from '{DIR}/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, DIR), con.sql(queries.ORACLE_SQL[name])
     order = sorted(got.columns)
