@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -79,9 +80,11 @@ def market_family(name: Column) -> Column:
 
 
 def book_width(text: Column) -> Column:
-    """The largest 1/back - 1/lay of the runners in a text of `back/lay` prices; null without any."""
+    """The largest 1/back - 1/lay of the runners in a text of `back/lay` prices; null without any. A price of 0 has an infinite
+    chance, and two of them no width (NaN, which is the largest)."""
     price = r"(\d+(?:\.\d+)?)/(\d+(?:\.\d+)?)"
-    of = lambda k: F.transform(F.regexp_extract_all(text, F.lit(price), F.lit(k)), lambda x: 1 / x.try_cast("double"))
+    inverse = lambda x: F.when(x == 0, math.inf).otherwise(1 / F.nullif(x, F.lit(0.0)))
+    of = lambda k: F.transform(F.regexp_extract_all(text, F.lit(price), F.lit(k)), lambda x: inverse(x.try_cast("double")))
     return F.array_max(F.zip_with(of(1), of(2), lambda back, lay: back - lay))
 
 

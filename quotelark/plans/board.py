@@ -250,7 +250,8 @@ select event_id, case when event_type = 'error' then null else round(greatest(1
 def texts(t):
     """Book width from a text of back/lay prices, a two-way reference probability, and a number that may be blank or negative."""
     e = t.read("events")
-    raw = F.when(F.col("event_type") != "error", F.concat(F.lit("R1 "), F.round("value", 2).cast("string"), F.lit("/"), F.round(F.col("value") * 1.1, 2).cast("string"), F.lit("; R2 2.0/2.5")))
+    first = F.concat(F.lit("R1 "), F.round("value", 2).cast("string"), F.lit("/"), F.round(F.col("value") * 1.1, 2).cast("string"), F.lit("; "))
+    raw = F.when(~F.col("event_type").eqNullSafe("error"), F.concat(F.coalesce(first, F.lit("")), F.lit("R2 2.0/2.5")))
     text = F.when(F.col("event_type") == "error", "-3").when(F.col("event_type") == "view", " 7 ").when(F.col("event_type") == "click", "x").otherwise((F.col("event_id") % 9).cast("string"))
     inside = (F.col("value") > 2) & (F.col("value") < 200)
     return rounded(e.select("event_id", book_width(raw).alias("width"), F.when(inside, two_way_reference(F.col("value"), F.col("value") + 1)).alias("reference"), nullable_int(text).alias("parsed")))
