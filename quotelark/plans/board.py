@@ -240,7 +240,7 @@ r as (select team, league, day, sum(s) over w as s, sum(n) over w as n from d wi
 select team, day, round((coalesce(s, 0) + 10 * base) / (coalesce(n, 0) + 10), 6) as rate from r join l using (league, day)""")
 def referee(t):
     """(prior sum + K x league) / (prior n + K), both over strictly earlier days; the league's sums are taken by day first."""
-    return rounded(B.shrunken_prior(t.history(), "team", "league", "day", "goals_against", 10.0))
+    return rounded(B.shrunken_prior(t.history(teams_together=True), "team", "league", "day", "goals_against", 10.0))
 
 
 @query("p14_p15_p23_text_and_reference", "", """
