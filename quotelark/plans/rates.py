@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quotelark.operators import combos as K
@@ -143,6 +143,25 @@ def estimator_choice(t):
     return rounded(s.crossJoin(F.broadcast(best)).withColumn("chosen", F.col("model") == F.col("best")).drop("best"))
 
 
+def over_lines(lines):
+    """A function of rates: the Poisson chances of more than each line, p<line>; a term is the one before it times rate / k, for a batch at once."""
+
+    @F.pandas_udf(", ".join(f"p{k} double" for k in lines))
+    def run(rate: pd.Series) -> pd.DataFrame:
+        r = rate.to_numpy(float)
+        term = np.exp(-r)
+        total, out = term.copy(), {}
+        for k in range(max(lines) + 1):
+            if k:
+                term *= r / k
+                total += term
+            if k in lines:
+                out[f"p{k}"] = 1 - total
+        return pd.DataFrame(out)
+
+    return run
+
+
 @query("c20_lines_and_estimators", "history", """
 , r as (select *, avg(goals_for) over (partition by team order by day, match_id rows between 10 preceding and 1 preceding) as last10, avg(goals_for) over (partition by team order by day, match_id rows between unbounded preceding and 1 preceding) as career, count(*) over (partition by team order by day, match_id rows between unbounded preceding and 1 preceding) as n from history),
 e as (unpivot (select league, goals_for, last10, career from r where n >= 5 and last10 > 0) on last10, career into name estimator value rate),
@@ -151,15 +170,13 @@ select estimator, line, count(*) as n, round(avg(p), 5) as mean_p, round(avg(y),
 def lines_and_estimators(t):
     """Poisson chances of more than four lines from a team's last ten matches and from all before, on the same matches, and their skill."""
     w, every = H.prior(["team"], ["day", "match_id"], 10), H.prior(["team"], ["day", "match_id"])
-    r = t.history().withColumn("last10", F.avg("goals_for").over(w)).withColumn("career", F.avg("goals_for").over(every)).withColumn("n", F.count(ONE).over(every)).where("n >= 5 and last10 > 0")
+    h = t.history(teams_together=True)
+    r = h.withColumn("last10", F.avg("goals_for").over(w)).withColumn("career", F.avg("goals_for").over(every)).withColumn("n", F.count(ONE).over(every)).where("n >= 5 and last10 > 0")
     e = r.unpivot(["goals_for"], ["last10", "career"], "estimator", "rate")
     lines = (20, 25, 30, 40)
-    term = lambda k: F.exp(-F.col("rate") + k * F.log("rate") - math.lgamma(k + 1))
-    under, total = [], F.lit(0.0)
-    for k in range(max(lines) + 1):
-        total = total + term(k)
-        if k in lines:
-            under.append(F.struct(F.lit(k).alias("line"), (1 - total).alias("p")))
-    p = e.select("estimator", "goals_for", F.explode(F.array(*under)).alias("x")).select("estimator", "x.line", (F.col("goals_for") > F.col("x.line")).cast("int").alias("y"), "x.p")
-    brier, y = F.avg(F.pow(F.col("p") - F.col("y"), 2)), F.avg("y")
-    return rounded(p.groupBy("estimator", "line").agg(F.count(ONE).alias("n"), F.round(F.avg("p"), 5).alias("mean_p"), y.alias("rate"), F.round(brier, 5).alias("brier"), F.round(1 - brier / (y * (1 - y)), 4).alias("skill")))
+    p = e.select("estimator", "goals_for", over_lines(lines)(F.col("rate")).alias("p"))
+    y = lambda k: (F.col("goals_for") > k).cast("int")
+    of = lambda k: F.struct(F.lit(k).alias("line"), F.avg(f"p.p{k}").alias("mean_p"), F.avg(y(k)).alias("rate"), F.avg(F.pow(F.col(f"p.p{k}") - y(k), 2)).alias("brier"))
+    wide = p.groupBy("estimator").agg(F.count(ONE).alias("n"), F.array(*map(of, lines)).alias("x"))  # a row an estimator
+    share, brier = F.col("x.rate"), F.col("x.brier")
+    return rounded(wide.select("estimator", "n", F.explode("x").alias("x")).select("estimator", "x.line", "n", F.round("x.mean_p", 5).alias("mean_p"), share.alias("rate"), F.round(brier, 5).alias("brier"), F.round(1 - brier / (share * (1 - share)), 4).alias("skill")))
