@@ -75,6 +75,18 @@ def convolved(a: Column, b: Column) -> Column:
     )
 
 
+def poisson_over(h: Column, a: Column, most: int, line: float) -> Column:
+    """over() of convolved() for two Poisson counts up to `most` each, without arrays: totals up to `line` (at most `most`) are a Poisson count
+    of rate h + a, so they are taken from the product of both counts' sums of x^k / k!."""
+    def sums(x: Column, n: int) -> Column:
+        out = F.lit(1.0)
+        for k in range(n, 0, -1):
+            out = 1.0 + x * F.lit(1 / k) * out
+        return out
+
+    return F.exp(-(h + a)) * (sums(h, most) * sums(a, most) - sums(h + a, int(line)))
+
+
 def over(pmf: Column, line: float) -> Column:
     """Chance of a total above the line."""
     return F.aggregate(F.slice(pmf, int(line) + 2, 10_000), F.lit(0.0), lambda s, x: s + x)
