@@ -9,10 +9,9 @@ from functools import reduce
 
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotelark.functions.odds import logit, sigmoid
@@ -58,12 +57,28 @@ def scored_all(scored: DataFrame, rows: DataFrame, columns: Sequence[str]) -> Da
 
 
 def logistic(train: DataFrame, test: DataFrame, columns: Sequence[str], label: str, ridge: float = 0.01, family: str = "binomial") -> DataFrame:
-    """test with `chances`: ridge logistic (or multinomial) regression, standardised on the training rows only."""
-    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(_features(train, columns))
-    model = LogisticRegression(labelCol=label, regParam=ridge, elasticNetParam=0.0, family=family, standardization=False).fit(scaler.transform(_features(train, columns)))
-    scored = model.transform(scaler.transform(_features(test, columns)))
-    chances = scored.withColumn("chances", vector_to_array("probability")).drop("raw", "features", "rawPrediction", "probability", "prediction")
-    return scored_all(chances, test, columns)
+    """test with `chances`: ridge logistic (or multinomial) regression, standardised on the training rows only.
+
+    Training rows are counted by their features and label first and fitted with these weights: the same sums, over different rows only.
+    Test rows are scored where they lie; those that lack a feature get null.
+    """
+    whole = " and ".join(f"`{c}` is not null" for c in columns)
+    counted = cut(train.where(whole).groupBy(*columns, label).agg(F.count(F.lit(1)).cast("double").alias("_n")))
+    x = lambda c: F.col(f"`{c}`").cast("double")
+    mean = counted.agg(*[F.sum(F.col("_n") * x(c)) / F.sum("_n") for c in columns], F.sum("_n")).first()
+    n = mean[-1] or 0
+    spread = counted.agg(*[F.sqrt(F.sum(F.col("_n") * F.pow(x(c) - F.lit(m), 2)) / max(n - 1, 1)) for c, m in zip(columns, mean)]).first()
+    scaled = lambda k: (x(columns[k]) - F.lit(mean[k])) * F.lit(1 / spread[k] if spread[k] else 0.0)
+    ready = VectorAssembler(inputCols=[f"_x{k}" for k in range(len(columns))], outputCol="features").transform(counted.select(label, "_n", *[scaled(k).alias(f"_x{k}") for k in range(len(columns))]))
+    model = LogisticRegression(labelCol=label, weightCol="_n", regParam=ridge, elasticNetParam=0.0, family=family, standardization=False).fit(ready)
+    rows, base = model.coefficientMatrix.toArray().tolist(), model.interceptVector.toArray().tolist()
+    lines = [reduce(Column.__add__, (F.lit(w) * scaled(k) for k, w in enumerate(row)), F.lit(b)) for row, b in zip(rows, base)]
+    if len(lines) == 1:
+        lines = [F.lit(0.0), *lines]
+    top = F.greatest(*lines)
+    parts = F.array(*[F.exp(line - top) for line in lines])
+    chances = F.transform(parts, lambda p: p / F.aggregate(parts, F.lit(0.0), lambda a, q: a + q))
+    return test.withColumn("chances", F.when(F.expr(whole), chances))
 
 
 def poisson_rates(train: DataFrame, test: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
