@@ -59,27 +59,31 @@ def replay(matches: DataFrame, rules: Ratings) -> DataFrame:
     """
     numbered = [r[0] for r in matches.select("season").distinct().orderBy("season").collect()]  # a row a season
     number = F.element_at(F.map_from_arrays(F.array(*map(F.lit, numbered)), F.array(*map(F.lit, range(len(numbered))))), F.col("season")) if numbered else F.lit(0)
-    steps, keep = np.array(rules.steps), 1 - rules.revert
+    steps, keep, first = list(map(float, rules.steps)), 1 - rules.revert, [rules.start] * len(rules.steps)  # plain numbers: arrays of a few cost more than they save
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pool, ratings, last = None, {}, {}
         for frame in frames:
             before = []
-            for of, home, away, season, margin in zip(frame["pool"], frame["home"], frame["away"], frame["number"], frame["margin"]):
+            for of, home, away, season, margin in zip(*(frame[c].tolist() for c in ("pool", "home", "away", "number", "margin"))):
                 if of != pool:
                     pool, ratings, last = of, {}, {}
                 for player in (home, away):
                     passed = season - last.get(player, season)
                     if passed:
-                        ratings[player] = rules.mean + (ratings[player] - rules.mean) * keep ** (1 if rules.own_seasons else passed)
+                        kept = keep ** (1 if rules.own_seasons else passed)
+                        ratings[player] = [rules.mean + (r - rules.mean) * kept for r in ratings[player]]
                     last[player] = season
-                x, y = (ratings.get(player, np.full(len(steps), rules.start)) for player in (home, away))
-                edge = x + rules.home - y
-                p = 1 / (1 + 10 ** (-edge / 400))
+                x, y = ratings.get(home, first), ratings.get(away, first)
+                edge = [a + rules.home - b for a, b in zip(x, y)]
+                p = [1 / (1 + 10 ** min(-e / 400, 300.0)) for e in edge]
                 before.append((x, y, p))
-                scale = (abs(margin) + 3) ** 0.8 / (7.5 + 0.006 * (edge if margin > 0 else -edge)) if rules.by_margin else 1.0
-                move = steps * scale * ((1.0 if margin > 0 else 0.0 if margin < 0 else 0.5) - p)
-                ratings[home], ratings[away] = x + move, y - move
+                won, moves = 1.0 if margin > 0 else 0.0 if margin < 0 else 0.5, steps
+                if rules.by_margin:
+                    wide, sign = (abs(margin) + 3) ** 0.8, 1 if margin > 0 else -1
+                    moves = [s * (wide / d if (d := 7.5 + 0.006 * sign * e) else math.inf) for s, e in zip(steps, edge)]
+                move = [s * (won - q) for s, q in zip(moves, p)]
+                ratings[home], ratings[away] = [a + m for a, m in zip(x, move)], [b - m for b, m in zip(y, move)]
             yield frame[["pool", "match_id", "season"]].assign(result=np.sign(frame["margin"]).astype("int32"), x=[b[0] for b in before], y=[b[1] for b in before], p=[b[2] for b in before])
 
     ordered = matches.withColumn("number", number).select("pool", "match_id", "day", "season", "home", "away", "margin", "number").repartition("pool").sortWithinPartitions("pool", "day", "match_id")
