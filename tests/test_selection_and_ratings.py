@@ -65,6 +65,17 @@ def test_overlapping_cards_without_pairs(spark):
     assert size_of(spark, many) == pytest.approx(effective(many))
 
 
+def test_card_chances_round_half_up_whatever_the_order(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{DIR}/lineitem.parquet'")
+    sql = catalog.ORACLE_SQL["a31_overlapping_cards"]
+    whole = sql.replace("round(avg(p), 4) as p from bets", "((2 * sum(round(p * 10000)::bigint) + count(*)) // (2 * count(*))) / 10000 as p from bets")
+    assert whole != sql  # means in whole numbers: a sum of doubles puts those that lie half-way on either side
+    assert tuple(catalog.QUERIES["a31_overlapping_cards"](spark, DIR).first()) == pytest.approx(con.execute(whole).fetchone(), abs=1e-4)
+
+
 def test_pools_are_connected_components(spark):
     rng = random.Random(5)
     games = [(k, k + 1) for k in range(100, 160)] + [(rng.randrange(40), rng.randrange(40)) for _ in range(25)]
