@@ -104,6 +104,20 @@ def test_op2_passages_of_frequent_lines(spark):
     assert all((r.begin_word, r.end_word, r.source_begin, r.source_end) == (30, 80, 30, 80) for r in got.values())
 
 
+def test_op2_passages_whose_halves_stood_first_elsewhere(spark):
+    words = lambda tag, n: [f"{tag}w{k}" for k in range(n)]
+    rows, want = [], set()
+    for k in range(30):
+        source = words(f"s{k}", 60)
+        later = source[:30] + [f"new{k}"] + source[31:]
+        for half, part in enumerate((source[:30], source[31:])):
+            rows += [(1000 * k + 10 * half + j, " ".join(words(f"b{k}h{half}d{j}", 40) + part + words(f"a{k}h{half}d{j}", 40))) for j in range(1 + k % 10)]
+        rows += [(1000 * k + 500, " ".join(words(f"p{k}", 45) + source + words(f"q{k}", 45))), (1000 * k + 600, " ".join(words(f"r{k}", 45) + later + words(f"t{k}", 45)))]
+        want.add((1000 * k + 600, 1000 * k + 500))
+    got = {(r.doc_id, r.source_id) for r in op2.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got <= want and len(got) >= 27  # at similarity 0.82 two of four functions agree with probability 0.98
+
+
 def test_op2_source_repeats_the_first_line(spark):
     rng = random.Random(10)
     fill = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
