@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bz2
 import gzip
+import io
 import json
 import re
 import tarfile
@@ -22,6 +23,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 LINES = "archive string, member string, day string, size long, number int, line string, error string"
 
 
+FILES_PER_TASK, BYTES_PER_TASK = 2000, 64 << 20
+#: Rows of an archive that pack() makes, about.
+ROWS_PER_ARCHIVE = 100_000
+
+
 def opened(uri: str) -> pa.NativeFile:
     system, path = fs.FileSystem.from_uri(uri)
     return system.open_input_file(path)
@@ -29,41 +35,58 @@ def opened(uri: str) -> pa.NativeFile:
 
 @dataclass
 class Members(InputPartition):
-    """Files of one archive that one task reads: name, day, where the file's bytes begin, how many there are."""
+    """A stretch of one archive that one task reads: the bytes from the first header on, up to the end of the last file."""
 
     archive: str
-    files: list[tuple[str, str, int, int]]
+    begin: int
+    end: int
 
 
 def unpacked(name: str, raw: bytes) -> bytes:
     return bz2.decompress(raw) if name.endswith(".bz2") else gzip.decompress(raw) if name.endswith(".gz") else raw
 
 
+def headers(stream: pa.NativeFile, begin: int, end: int | None = None) -> Iterator[tarfile.TarInfo]:
+    """The headers of a tar from a member's beginning on; contents are not read and headers not kept."""
+    stream.seek(begin)
+    with tarfile.open(fileobj=io.BufferedReader(stream, 1 << 16), mode="r:") as tar:
+        while (member := tar.next()) is not None and (end is None or member.offset < end):
+            tar.members.clear()
+            yield member
+
+
+def packets(archive: str, pattern: re.Pattern, skip: set[str], most_files: int, most_bytes: int) -> Iterator[tuple[str, int, int]]:
+    """(archive, begin, end) of stretches that hold enough files for a task. Days to skip make no work."""
+    files = size = begin = end = 0
+    with opened(archive) as stream:
+        for member in headers(stream, 0):
+            if wanted(member, pattern, skip) is None:
+                continue
+            if files and (files >= most_files or size + member.size > most_bytes):
+                yield archive, begin, end
+                files = size = 0
+            begin, end = begin if files else member.offset, member.offset_data + member.size
+            files, size = files + 1, size + member.size
+    if files:
+        yield archive, begin, end
+
+
+def wanted(member: tarfile.TarInfo, pattern: re.Pattern, skip: set[str]) -> str | None:
+    """The day of a member that is to be read."""
+    match = pattern.search(member.name) if member.isfile() else None
+    return None if match is None or match["day"] in skip else match["day"]
+
+
 class MembersReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.archives = json.loads(options["archives"])
-        self.pattern = re.compile(options.get("pattern", r"(?P<day>)"))
-        self.skip = set(json.loads(options.get("skip", "[]")))
-        self.most_files, self.most_bytes = int(options.get("filesPerTask", 2000)), int(options.get("bytesPerTask", 64 << 20))
+        self.pattern, self.skip = re.compile(options.get("pattern", r"(?P<day>)")), set(json.loads(options.get("skip", "[]")))
+        most = int(options.get("filesPerTask", FILES_PER_TASK)), int(options.get("bytesPerTask", BYTES_PER_TASK))
+        self.archives, self.most, self.packets = json.loads(options.get("archives", "[]")), most, json.loads(options.get("packets", "null"))
 
     def partitions(self) -> Sequence[Members]:
-        """Archives' headers are read, no contents; neighbouring files are packed until a task has enough. Days to skip make no work."""
-        out = []
-        for archive in self.archives:
-            files, size = [], 0
-            with opened(archive) as stream, tarfile.open(fileobj=stream, mode="r:") as tar:
-                for member in tar:
-                    match = self.pattern.search(member.name) if member.isfile() else None
-                    if match is None or match["day"] in self.skip:
-                        continue
-                    if files and (len(files) >= self.most_files or size + member.size > self.most_bytes):
-                        out.append(Members(archive, files))
-                        files, size = [], 0
-                    files.append((member.name, match["day"], member.offset_data, member.size))
-                    size += member.size
-            if files:
-                out.append(Members(archive, files))
-        return out or [Members("", [])]
+        """The packets that archive_lines() found in tasks; without these, archives' headers are read here."""
+        found = self.packets if self.packets is not None else [p for a in self.archives for p in packets(a, self.pattern, self.skip, *self.most)]
+        return [Members(*p) for p in found] or [Members("", 0, 0)]
 
     def read(self, partition: Members) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in LINES.split(", ")]
@@ -72,11 +95,15 @@ class MembersReader(DataSourceReader):
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-        if not partition.files:
+        if not partition.end:
             return
         rows: list[tuple] = []
-        with opened(partition.archive) as stream:
-            for name, day, at, size in partition.files:
+        with opened(partition.archive) as stream, opened(partition.archive) as heads:
+            for member in headers(heads, partition.begin, partition.end):
+                day = wanted(member, self.pattern, self.skip)
+                if day is None:
+                    continue
+                name, at, size = member.name, member.offset_data, member.size
                 of = (partition.archive, name, day, size)
                 try:
                     lines = unpacked(name, stream.read_at(size, at)).decode("utf-8").splitlines()
@@ -92,7 +119,8 @@ class MembersReader(DataSourceReader):
 
 class ArchiveMembers(DataSource):
     """Lines of the files inside tar archives. Options: archives (a JSON list of addresses), pattern (of a member's name, with a group
-    `day`), skip (a JSON list of days that are left alone), filesPerTask, bytesPerTask. A file that can't be read gives one row with its
+    `day`), skip (a JSON list of days that are left alone), filesPerTask, bytesPerTask, packets (a JSON list of stretches, instead of
+    archives). A file that can't be read gives one row with its
     error, an empty one a row that says so."""
 
     @classmethod
@@ -106,28 +134,40 @@ class ArchiveMembers(DataSource):
         return MembersReader(self.options)
 
 
-def archive_lines(spark: SparkSession, archives: Sequence[str], pattern: str = r"(?P<day>)", skip: Sequence[str] = (), files_per_task: int = 2000) -> DataFrame:
+def archive_lines(spark: SparkSession, archives: Sequence[str], pattern: str = r"(?P<day>)", skip: Sequence[str] = (), files_per_task: int = FILES_PER_TASK) -> DataFrame:
+    """Lines of the archives' files. Tasks read the headers, an archive each; the driver gets a row for every `files_per_task` files."""
+    match, days = re.compile(pattern), set(skip)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [p for uri in batch.column("uri").to_pylist() for p in packets(uri, match, days, files_per_task, BYTES_PER_TASK)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*found)) or [()] * 3, (pa.string(), pa.int64(), pa.int64()))], ["uri", "begin", "end"])
+
+    named = spark.createDataFrame(spark.sparkContext.parallelize([(uri,) for uri in archives], max(len(archives), 1)), "uri string")
+    found = sorted((r.uri, r.begin, r.end) for r in named.mapInArrow(run, "uri string, begin long, end long").collect())
     spark.dataSource.register(ArchiveMembers)
-    reader = spark.read.format("archive_members").option("archives", json.dumps(list(archives))).option("pattern", pattern)
-    return reader.option("skip", json.dumps(list(skip))).option("filesPerTask", files_per_task).load()
+    reader = spark.read.format("archive_members").option("packets", json.dumps(found)).option("pattern", pattern)
+    return reader.option("skip", json.dumps(list(skip))).load()
 
 
 def pack(rows: DataFrame, folder: str) -> list[str]:
-    """rows (archive, member, number, line) as tar archives of bz2 files below `folder`; their addresses, a few an archive key.
+    """rows (archive, member, number, line) as tar archives of bz2 files below `folder`; their addresses.
 
-    Names are those that committed tasks returned. A member's lines stay together; an archive key makes one file.
+    Names are those that committed tasks returned. A member's lines stay together; an archive key makes a file for every
+    ROWS_PER_ARCHIVE rows, so no task's work grows with the rows.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = fs.FileSystem.from_uri(folder)
         system.create_dir(path, recursive=True)
-        key = member = tar = out = None
+        key = member = tar = out = None  # key: of an archive and its part
         lines: list[str] = []
         made = []
 
         def close_member() -> None:
             if member is not None:
-                raw = bz2.compress("\n".join(lines).encode())
+                text = "\n".join(lines).encode()
+                raw = bz2.compress(text, min(9, 1 + len(text) // 100_000))  # blocks no larger than the file: both sides set up whole blocks
                 info = tarfile.TarInfo(member)
                 info.size = len(raw)
                 tar.addfile(info, pa.BufferReader(raw))
@@ -138,23 +178,28 @@ def pack(rows: DataFrame, folder: str) -> list[str]:
                 tar.close()
                 out.close()
 
-        for frame in frames:
-            for archive, name, line in zip(frame["archive"], frame["member"], frame["line"]):
-                if archive != key or name != member:
+        for batch in batches:
+            for archive, part, name, line in zip(*(batch.column(c).to_pylist() for c in ("archive", "part", "member", "line"))):
+                if (archive, part) != key or name != member:
                     close_member()
                     member = name
-                if archive != key:
+                if (archive, part) != key:
                     close_archive()
-                    key, made = archive, [*made, f"{archive}-{uuid.uuid4().hex}.tar"]
+                    key, made = (archive, part), [*made, f"{archive}-{uuid.uuid4().hex}.tar"]
                     out = system.open_output_stream(f"{path}/{made[-1]}")
                     tar = tarfile.open(fileobj=out, mode="w|")
                 lines.append(line)
         close_member()
         close_archive()
-        yield pd.DataFrame({"uri": [f"{folder}/{name}" for name in made]})
-
-    ordered = rows.repartition("archive").sortWithinPartitions("archive", "member", "number").select("archive", "member", "line")
-    return sorted(r.uri for r in ordered.mapInPandas(run, "uri string").collect())
+        yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}" for name in made], pa.string())], ["uri"])
+
+    sizes = {r.archive: -(-r.n // ROWS_PER_ARCHIVE) for r in rows.groupBy("archive").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a key
+    parts = F.broadcast(rows.sparkSession.createDataFrame(list(sizes.items()) or [("", 1)], "archive string, parts long"))
+    dealt = rows.join(parts, rows["archive"].eqNullSafe(parts["archive"])).select(rows["archive"], "member", "number", "line", F.pmod(F.xxhash64("member"), "parts").alias("part"))
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), sum(sizes.values()))
+    dealt = dealt.repartition(tasks, "archive", "part").sortWithinPartitions("archive", "part", "member", "number")
+    ordered = dealt.select("archive", "part", "member", "line")
+    return sorted(r.uri for r in ordered.mapInArrow(run, "uri string").collect())
 
 
 def declared_columns(spark: SparkSession, path: str) -> DataFrame:

@@ -51,6 +51,16 @@ def test_packed_archives_read_back(spark, tmp_path):
     assert [r.line for r in got if "/w0-" in r.archive and r.member == rows[0][1]] == [r[3] for r in rows if r[:2] == rows[0][:2]]
 
 
+def test_large_archives_are_packed_and_read_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(A, "ROWS_PER_ARCHIVE", 50)
+    rows = [(f"w{k % 3}", f"2024-01-{1 + k % 5:02d}/m{k % 67}.bz2", k, f"line {k}") for k in range(600)]
+    made = A.pack(spark.createDataFrame(rows, "archive string, member string, number long, line string").repartition(4), f"{tmp_path}/out")
+    lines = A.archive_lines(spark, made, DAY, ["2024-01-02"], files_per_task=3)
+    got = lines.orderBy("member", "archive", "number").collect()
+    assert 9 <= len(made) <= 12 and sorted(r.line for r in got) == sorted(r[3] for r in rows if "-02/" not in r[1]) and all(r.error is None for r in got)
+    assert len({(r.archive, r.member) for r in got}) == len({r[:2] for r in rows if "-02/" not in r[1]})
+
+
 def test_drifting_files_are_named(spark, tmp_path):
     for season, frame in ((2001, "1 as a, 'x' as b"), (2002, "1 as a, 'x' as b, 2 as c"), (2003, "cast('1' as string) as a")):
         spark.sql(f"select {frame}").write.parquet(f"{tmp_path}/season={season}")
