@@ -65,6 +65,15 @@ def test_overlapping_cards_without_pairs(spark):
     assert size_of(spark, many) == pytest.approx(effective(many))
 
 
+def test_sets_of_one_card_are_not_made(spark, monkeypatch):
+    cards = [({f"e{5 * k + j}": ("x", 0.6) for j in range(5)}, 1.0) for k in range(50)] + [({"e0": ("x", 0.6), "e1": ("x", 0.6), "e2": ("y", 0.3)}, 1.0)]
+    made, cut = [], X.cut
+    monkeypatch.setattr(X, "cut", lambda df: made.append(cut(df)) or made[-1])
+    assert size_of(spark, cards) == pytest.approx(effective(cards))
+    sums = next(df for df in made if "sides" in df.columns)
+    assert sums.where(F.size("events") > 1).count() == 7  # three pairs and a triple, with two choices of sides where e2 is in
+
+
 def test_card_chances_round_half_up_whatever_the_order(spark):
     import duckdb
 
