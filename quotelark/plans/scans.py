@@ -326,9 +326,11 @@ def archive_compaction(t):
 @query("k3_archive_days", "", """
 select strftime(make_timestamp(((epoch_us(ts) + 500) // 1000) * 1000), '%Y-%m-%d') as day, count(distinct user_id) as markets, count(*) as n_messages from events group by 1""")
 def archive_days(t):
-    """Days out of archives, each written once: a second run reads no file of the days that are there."""
+    """Days out of archives, each written once: a second run reads no file of the days that are there. A run takes all files of its weeks,
+    as each of them may hold some of a day."""
     archives, path = market_archives(t), new_path(t.spark)
-    for some in (archives[: len(archives) // 2], archives):
+    weeks = [files for _, files in sorted(A.by_key(archives).items())]
+    for some in (sum(weeks[: len(weeks) // 2], []), archives):
         done = K.days_done(t.spark, path, "day")
         m = archived_messages(A.archive_lines(t.spark, some, DAY_OF_MEMBER, done)).groupBy("day", "member").agg(F.count(F.lit(1)).alias("n_messages"))
         K.write_days(m, path, "day")

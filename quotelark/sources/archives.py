@@ -202,6 +202,14 @@ def pack(rows: DataFrame, folder: str) -> list[str]:
     return sorted(r.uri for r in ordered.mapInArrow(run, "uri string").collect())
 
 
+def by_key(archives: Sequence[str]) -> dict[str, list[str]]:
+    """The addresses that pack() made, by their archive key: what belongs to one key lies in all of its files."""
+    of: dict[str, list[str]] = {}
+    for uri in archives:
+        of.setdefault(uri.rsplit("/", 1)[1].rsplit("-", 1)[0], []).append(uri)
+    return of
+
+
 def declared_columns(spark: SparkSession, path: str) -> DataFrame:
     """(file, place, column, kind) of all files: Parquet footers and the first line of CSV files, read in tasks; no data is read.
 

@@ -3,13 +3,17 @@
 import bz2
 import gzip
 import io
+import os
 import tarfile
 import time
 
+import duckdb
 from pyspark.sql import functions as F
 
+from quotelark import catalog
 from quotelark.sources import archives as A
 
+DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 DAY = r"^(?P<day>\d{4}-\d\d-\d\d)/"
 
 
@@ -61,6 +65,14 @@ def test_large_archives_are_packed_and_read_in_parts(spark, tmp_path, monkeypatc
     assert len({(r.archive, r.member) for r in got}) == len({r[:2] for r in rows if "-02/" not in r[1]})
 
 
+def test_days_in_several_files_of_a_week_are_whole(spark, monkeypatch):
+    monkeypatch.setattr(A, "ROWS_PER_ARCHIVE", 25)
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{DIR}/events.parquet'")
+    want = con.sql(catalog.ORACLE_SQL["k3_archive_days"]).fetchall()
+    assert sorted(map(tuple, catalog.QUERIES["k3_archive_days"](spark, DIR).collect())) == sorted(want)
+
+
 def test_drifting_files_are_named(spark, tmp_path):
     for season, frame in ((2001, "1 as a, 'x' as b"), (2002, "1 as a, 'x' as b, 2 as c"), (2003, "cast('1' as string) as a")):
         spark.sql(f"select {frame}").write.parquet(f"{tmp_path}/season={season}")
