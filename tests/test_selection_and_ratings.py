@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quotelark import catalog
+from quotelark.operators import combos as C
 from quotelark.operators import ratings as R
 from quotelark.operators import selection as X
 
@@ -85,6 +86,12 @@ def test_card_chances_round_half_up_whatever_the_order(spark):
     assert tuple(catalog.QUERIES["a31_overlapping_cards"](spark, DIR).first()) == pytest.approx(con.execute(whole).fetchone(), abs=1e-4)
 
 
+def test_equal_exposures_tie_whatever_the_order(spark):
+    rows = [(e, a) for e, amounts in ((1, (0.1, 0.2, 0.3)), (2, (0.3, 0.2, 0.1)), (3, (0.2, 0.3))) for a in amounts]
+    got = C.exposure(spark.createDataFrame(rows, "event int, odds double").coalesce(1), "event", "odds").orderBy("event").collect()
+    assert [tuple(r) for r in got] == [(1, 0.6, 6 / 17, True), (2, 0.6, 6 / 17, True), (3, 0.5, 5 / 17, False)]
+
+
 def test_pools_are_connected_components(spark):
     rng = random.Random(5)
     games = [(k, k + 1) for k in range(100, 160)] + [(rng.randrange(40), rng.randrange(40)) for _ in range(25)]
