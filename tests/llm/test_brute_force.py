@@ -118,6 +118,61 @@ def test_op2_passages_whose_halves_stood_first_elsewhere(spark):
     assert got <= want and len(got) >= 27  # at similarity 0.82 two of four functions agree with probability 0.98
 
 
+def test_op2_documents_that_share_one_line_only_are_not_compared(spark, monkeypatch):
+    """150 documents with one line of 26 words among their own, and at the end one that has a passage of another about the line."""
+    rng, sizes, plain = random.Random(3), [], op2.verified
+    monkeypatch.setattr(op2, "verified", lambda pairs, *more: sizes.append(pairs.count()) or plain(pairs, *more))
+    fill = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    line, more = fill(26), fill(30)
+    rows = [(k, fill(60) + line + (more if k in (70, 148) else []) + fill(60)) for k in range(150)]
+    monkeypatch.setattr(op2, "find_areas", everywhere)
+    got = op2.repeats(spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.begin_word, r.end_word, r.source_id) for r in got] == [(148, 60, 116, 70)]
+    assert sum(sizes) <= 2 * len(rows)  # 10,000 and more where all that share the line meet
+
+
+def everywhere(min_words):
+    """All of a text is an area, whatever its windows are."""
+
+    def run(batches):
+        for batch in batches:
+            spans = pa.array([[1 << 20]] * batch.num_rows, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), spans, pa.array([[]] * batch.num_rows, pa.list_(pa.int64()))], ["uid", "areas", "whole"])
+
+    return run
+
+
+def test_op2_likely_pairs_hold_all_that_verify_finds():
+    """Edited copies with and without repeated lines: where verify() finds a passage about a run, likely() says so."""
+    rng, size, n_found, n_left = random.Random(4), op2.short_run(50, 0.8), 0, 0
+    for _ in range(400):
+        x = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice((60, 150, 500)))]
+        if rng.random() < 0.3:
+            x[20:20] = x[5:20] * 3
+        y, rate = [], rng.choice((0.01, 0.03, 0.06, 0.1, 0.2))
+        for w in x[rng.randrange(10) :]:
+            change = rng.random() / rate
+            y += [w] if change > 1 else [] if change < 0.2 else [w, "more"] if change < 0.4 else [f"v{rng.randrange(10**6)}"]
+        y = [f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(300))] + y
+        values = [op2.shingle_hashes(op2.word_hashes(pa.array(w), plain=True), op2.WIDTH) for w in (x, y)]
+        runs = [{v: k for k, v in enumerate(op2.run_hashes(v, size).tolist())} for v in values]
+        shared = [v for v in runs[0] if v in runs[1]]
+        if not shared:
+            continue
+        some = rng.choice(shared)
+        pair = {"x": [0], "y": [1], "areas": [[len(x)]], "runs": [[runs[0][some] << 1]], "text_x": [" ".join(x)], "text_y": [" ".join(y)]}
+        found = pa.Table.from_batches(op2.verify(50, 0.8)(iter([pa.RecordBatch.from_pydict(pair)]))).to_pylist()
+        marks = pa.array([[{"run": 5, "at": r[some] << 1, "place": 1}] for r in runs], pa.list_(pa.struct([("run", pa.int64()), ("at", pa.int64()), ("place", pa.int32())])))
+        of = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array([" ".join(x), " ".join(y)]), marks], ["rep", "text", "marks"])
+        a, b = pa.Table.from_batches(op2.surroundings(size)(iter([of]))).to_pylist()
+        asked = pa.RecordBatch.from_pylist([{"x": 0, "y": 1, "at": a["at"], "mid": a["mid"], "around": a["around"], "around_y": b["around"]}], pa.schema([("x", pa.int64()), ("y", pa.int64()), ("at", pa.int64()), ("mid", pa.int32()), ("around", pa.binary()), ("around_y", pa.binary())]))
+        likely = sum(r.num_rows for r in op2.likely(50, 0.8)(iter([asked])))
+        holds = any(r["begin_word"] <= runs[0][some] and r["end_word"] >= runs[0][some] + size + op2.WIDTH - 1 for r in found)
+        assert likely or not holds
+        n_found, n_left = n_found + holds, n_left + (not likely)
+    assert n_found > 100 and n_left > 30
+
+
 def test_op2_source_repeats_the_first_line(spark):
     rng = random.Random(10)
     fill = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
